@@ -6,17 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plait.llm import simhash
+from plait.llm import ann, bpe, maxscore, packing, pii, simhash
 from plait.runtime import table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op2_prefix_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
+def op4_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    found = (op1_best_fit_packing, op2_prefix_forest_ann, op3_maxscore_top_k, op4_pii_anchor_expansion, op5_word_bpe, op10_simhash_near_dedup)
+    return {f.__name__: f for f in found}
+
+
+_USABLE = """select vec_id, embedding from embeddings where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_maxscore_top_k": f"""
+with rows as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as w from ({_USABLE})),
+scored as (
+  select q.vec_id as query_id, r.vec_id,
+         list_sum(list_transform(range(1, len(q.w) + 1), i -> q.w[i] * r.w[i]))::bigint as score
+  from rows q join rows r on q.vec_id % 100 = 0 and r.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10"""
+    }
