@@ -50,20 +50,32 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage with a copy that
     outlives any executor. The tables go when the driver ends, or with :func:`cleanup`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/plait/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/plait/{tag}-{unique()}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup() -> None:
-    """Delete every table that :func:`materialise` wrote in this process."""
-    while _written:
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written() -> int:
+    """How many tables :func:`materialise` has written and not yet deleted."""
+    return len(_written)
+
+
+def cleanup(first: int = 0) -> None:
+    """Delete the tables that :func:`materialise` wrote in this process, from the ``first`` on."""
+    while len(_written) > first:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
         except Exception:  # the session may have ended already
             pass
 
