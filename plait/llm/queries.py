@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plait.llm import ann, bpe, maxscore, packing, pii, simhash
+from plait.llm import ann, bpe, html_text, line_dedup, maxscore, packing, pii, quality, simhash, toxicity
 from plait.runtime import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 def op2_prefix_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,24 @@ def op4_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels"), with_text=False)
+
+
+def op7_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +58,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_prefix_forest_ann, op3_maxscore_top_k, op4_pii_anchor_expansion, op5_word_bpe, op10_simhash_near_dedup)
+    found = (
+        op1_best_fit_packing, op2_prefix_forest_ann, op3_maxscore_top_k, op4_pii_anchor_expansion, op5_word_bpe,
+        op6_kneser_ney_quality, op7_line_window_dedup, op8_toxic_lexicon, op9_html_templates, op10_simhash_near_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -51,6 +71,7 @@ _USABLE = """select vec_id, embedding from embeddings where vec_id is not null a
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_line_window_dedup": line_dedup.SQL,
         "op3_maxscore_top_k": f"""
 with rows as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as w from ({_USABLE})),
 scored as (
