@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from plait.runtime import materialise
 
 WINDOW = 3
+#: Documents with lines to remove, and such lines, up to which they are broadcast to the texts (some
+#: 70 MB); beyond, both are shuffled by document.
+BROADCAST_ROWS, BROADCAST_LINES = 500_000, 8_000_000
 
 
 def _lines(docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -51,7 +54,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "
     one document and keep the same lines; rows with a null id come last in order.
     """
     gone = materialise(covered(docs, window, text, id), "covered")
-    names = [c for c in docs.columns]
+    n = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
+    if n.rows <= BROADCAST_ROWS and n.lines <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
+    names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id).alias("d"), F.xxhash64(text).alias("t"))
     found = keyed.alias("k").join(gone.alias("g"), _same("k.d", "g.d") & (F.col("k.t") == F.col("g.t")), "left").select("row", "gone")
     lined = found.select("row", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.split(F.col("row").getField(text), "\n", -1).alias("lines"))

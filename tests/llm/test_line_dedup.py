@@ -43,3 +43,11 @@ def test_edges(spark, edge_docs):
 def test_no_python(spark, edge_docs):
     plan = line_dedup.dedup(edge_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_shuffled_join_gives_the_same(spark, monkeypatch):
+    rows = [(i, "\n".join("abcde"[(i + j) % 5] for j in range(8))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(line_dedup.dedup(df).collect())
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(line_dedup.dedup(df).collect()) == one
