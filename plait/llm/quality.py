@@ -33,6 +33,9 @@ BROADCAST_ENTRIES = 4_000_000
 #: Up to this many trusted ids are broadcast to the documents; beyond, both are shuffled.
 BROADCAST_IDS = 2_000_000
 
+#: Positions and types that a task holds for a language at a time.
+CHUNK, TYPES = 250_000, 400_000
+
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 BOUNDARY = 0x110000
@@ -70,6 +73,14 @@ def chains(text: str, lang: str, order: int = ORDER) -> np.ndarray:
     return out
 
 
+def _positions(text: str, lang: str, order: int) -> Iterator[np.ndarray]:
+    """The chains of a text, a bounded part at a time."""
+    for at in range(0, len(text), CHUNK):
+        part = chains(text[max(0, at - order + 1) : at + CHUNK], lang, order)
+        end = len(part) if at + CHUNK >= len(text) else len(part) - 1
+        yield part[min(at, order - 1) : end]
+
+
 def _named(order: int) -> list[str]:
     return [x for k in range(order, 0, -1) for x in (f"g{k}", f"c{k}")]
 
@@ -80,29 +91,42 @@ def count_types(docs: DataFrame, order: int = ORDER, text: str = "text", lang: s
     names = _named(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
-            rows = np.concatenate(parts)
-            _, first, n = np.unique(rows[:, 0], return_index=True, return_counts=True)
-            rows = rows[first].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(2 * order)), pa.array(n.astype(np.int64))], ["lang", *names, "n"])
-
         held: dict[str, list[np.ndarray]] = defaultdict(list)
         size: dict[str, int] = defaultdict(int)
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # types and their counts so far
+
+        def fold(lang: str) -> None:
+            rows = np.concatenate(held.pop(lang))
+            n = np.ones(len(rows), dtype=np.int64)
+            if lang in known:
+                rows, n = np.concatenate((known[lang][0], rows)), np.concatenate((known[lang][1], n))
+            _, first, inverse = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+            known[lang] = rows[first], np.bincount(inverse, weights=n).astype(np.int64)
+            size[lang] = 0
+
+        def flush(lang: str) -> Iterator[pa.RecordBatch]:
+            rows, n = known.pop(lang)
+            rows = rows.view(np.int64)
+            for at in range(0, len(n), 20_000):
+                r = rows[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(r), pa.string()), *(pa.array(np.ascontiguousarray(r[:, i])) for i in range(2 * order)), pa.array(n[at : at + 20_000])], ["lang", *names, "n"])
+
         for b in batches:
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t or g is None:
                     continue
-                for at in range(0, len(t), 1_000_000):  # very long texts by parts that overlap
-                    part = chains(t[max(0, at - order + 1) : at + 1_000_000], g, order)
-                    end = len(part) if at + 1_000_000 >= len(t) else len(part) - 1
-                    held[g].append(part[min(at, order - 1) : end])
-                    size[g] += len(held[g][-1])
-                    if size[g] > 1_000_000:
-                        yield flush(g, held.pop(g))
-                        size[g] = 0
-        for g, parts in held.items():
-            if parts:
-                yield flush(g, parts)
+                for part in _positions(t, g, order):
+                    held[g].append(part)
+                    size[g] += len(part)
+                    if size[g] > CHUNK:
+                        fold(g)
+                        if len(known[g][1]) > TYPES:
+                            yield from flush(g)
+        for g in list(held):
+            if held[g]:
+                fold(g)
+        for g in list(known):
+            yield from flush(g)
 
     schema = "lang string, " + ", ".join(f"{c} long" for c in names) + ", n long"
     rows = docs.select(F.col(text), F.col(lang)).mapInArrow(run, schema)
@@ -162,13 +186,6 @@ def interpolate(shares: list, weights: list, uniform: np.ndarray) -> np.ndarray:
     return p
 
 
-def _positions(text: str, lang: str, order: int) -> Iterator[np.ndarray]:
-    for at in range(0, len(text), 1_000_000):
-        part = chains(text[max(0, at - order + 1) : at + 1_000_000], lang, order)
-        end = len(part) if at + 1_000_000 >= len(text) else len(part) - 1
-        yield part[min(at, order - 1) : end]
-
-
 def nats_broadcast(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (id, text, lang, …) with ``nats`` and ``n``: minus the log-probability and the number of
     characters, the end included. Texts of unknown languages have null; empty ones zero."""
@@ -209,7 +226,7 @@ def nats_broadcast(docs: DataFrame, model: Model) -> DataFrame:
                     held[lang].append((i, part))
                     size[lang] += len(part)
                     n[i] += len(part)
-                    if size[lang] > 1_000_000:
+                    if size[lang] > CHUNK:
                         flush(lang)
             for lang in list(held):
                 flush(lang)
