@@ -15,9 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch, unless the session says otherwise: texts and vectors are long rows, and a
+#: batch is held in the JVM and in the worker at once.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that Python kernels can be
-    imported there whatever the executors' own path holds."""
+    imported there whatever the executors' own path holds, and keep Arrow batches small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default
+        spark.conf.set(key, BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_plait_shipped", False):
         return
