@@ -39,6 +39,29 @@ def ship(spark: SparkSession) -> None:
     sc._plait_shipped = True
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(kernel):
+    """A batch kernel that trims its worker's memory when its task ends."""
+
+    def run(batches):
+        yield from kernel(batches)
+        trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
     Only where the session names none, as in tests, a local one is made."""
