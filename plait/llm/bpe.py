@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.runtime import ship
+from plait.runtime import lean, ship
 
 LONG = 64
 #: Words whose encoding a worker remembers; the memory is dropped when full.
@@ -201,7 +201,7 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", id: str = "do
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -214,4 +214,4 @@ def encoded(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id")
             ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(lean(run), "doc_id long, ids array<int>, decoded string")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.runtime import materialise, ship
+from plait.runtime import lean, materialise, ship
 
 #: A host's template is deduced from this many pages at least. Optional classes have this many tokens,
 #: stand on this share of the pages, and are deduced from this many pages.
@@ -253,7 +253,7 @@ def templates(pages: DataFrame) -> DataFrame:
             )
 
     # times is negative in the rows that count a host's pages; sums of vectors wrap, as 64 bits do
-    rows = pages.select("host", "html").mapInArrow(gather, "host string, token long, pages long, times long, vector long")
+    rows = pages.select("host", "html").mapInArrow(lean(gather), "host string, token long, pages long, times long, vector long")
     split = rows.select("host", "token", "pages", "times", (F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.shiftrightunsigned("vector", 32).alias("high"))
     size = F.col("times") < 0
     found = split.groupBy("host", size.alias("size"), "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "low", "high")))
@@ -302,7 +302,7 @@ def extract(pages: DataFrame, use_templates: bool = True) -> DataFrame:
             for b in batches:
                 yield out(b, [text_of(read(h or ""), own.get(host, Template())) for h, host in zip(b.column(2).to_pylist(), b.column(3).to_pylist())])
 
-        return pages.mapInArrow(run, schema)
+        return pages.mapInArrow(lean(run), schema)
 
     # hot hosts are dealt over SALTS tasks; each salt has a copy of the host's template
     salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
@@ -314,4 +314,4 @@ def extract(pages: DataFrame, use_templates: bool = True) -> DataFrame:
             pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
             yield out(b, [text_of(read(h or ""), _template(c or [])) for h, c in pairs])
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(lean(run_joined), schema)

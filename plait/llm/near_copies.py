@@ -5,19 +5,21 @@ closer copies than a Jaccard similarity of 0.8 over five-word shingles: at 0.8 a
 Here the same codes find the candidates on features that change less, and similarity decides:
 
 1. texts equal up to case and white space are one class, kept by its first document;
-2. a class has four fingerprints of 46 bits over its distinct words; both 23-bit segments are decoded
+2. a class has five fingerprints of 46 bits over its words; both 23-bit segments are decoded
    to their nearby codewords, and pairs of these are the keys (about 28 a fingerprint). Classes that
    differ in at most two bits of either segment of some fingerprint share a key;
-3. candidates are verified by the similarity of their five-word shingles, estimated from the Hamming
-   distance of SimHashes of 1024 bits (standard error 0.015 at 0.8), and linked at 0.8 or more;
+3. candidates are verified by the similarity of their five-word shingles: SimHashes of 1024 bits settle
+   what is further than ``UNSURE`` from 0.8, and the sets of shingles decide the rest exactly;
 4. of each component of links the document with the smallest id stays.
 
-A key's run that is longer than ``DENSE`` does not give all its pairs: each member meets its
+A pair is taken at the first key that it shares. A key's run that is longer than ``DENSE`` does not
+give all its pairs: each member meets its
 ``NEAREST`` nearest and the run's ``HUBS`` most central members, of which a source of copies is one.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,43 +30,49 @@ from pyspark.sql import functions as F
 
 from plait.llm.simhash import nearby
 from plait.operators.components import connected_components
-from plait.runtime import materialise, ship
+from plait.runtime import lean, materialise, ship
 
 WORDS, SIMILARITY = 5, 0.8
-PRINTS, LONG_BITS = 4, 1024
-DENSE, NEAREST, HUBS, DISTANCE = 48, 12, 6, 4
+PRINTS, LONG_BITS = 5, 1024
+SEEDS = -(-46 * PRINTS // 128)
+DENSE, NEAREST, HUBS, DISTANCE = 24, 8, 4, 4
 BROADCAST_ROWS = 2_000_000
+#: Estimates within this of the threshold are checked exactly; about five standard errors.
+UNSURE = 0.08
 
 
 def word_prints(parts: list[bytes]) -> list[int]:
-    """PRINTS fingerprints of 46 bits over the distinct words."""
-    words = set(parts)
+    """PRINTS fingerprints of 46 bits over the words, weighted by the root of their number."""
+    counts = Counter(parts)
     digest = xxhash.xxh3_128_digest
-    raw = b"".join([digest(w, 1) + digest(w, 2) for w in words])
-    bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 32), axis=1)[:, : 46 * PRINTS]
-    on = (bits.sum(axis=0, dtype=np.int64) * 2 > len(words)).reshape(PRINTS, 46)
+    raw = b"".join([digest(w, k) for w in counts for k in range(SEEDS)])
+    bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 16 * SEEDS), axis=1)[:, : 46 * PRINTS]
+    weight = np.sqrt(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)))
+    on = (weight @ bits.astype(np.float32) * 2 > weight.sum()).reshape(PRINTS, 46)
     return (on.astype(np.int64) << np.arange(46, dtype=np.int64)).sum(axis=1).tolist()
 
 
-def long_print(parts: list[bytes], words: int = WORDS) -> bytes:
-    """SimHash of LONG_BITS bits over the shingles, repeats included."""
+def long_print(parts: list[bytes], words: int = WORDS) -> tuple[bytes, np.ndarray]:
+    """SimHash of LONG_BITS bits over the shingles, repeats included, and the sorted set of the lower
+    halves of their hashes."""
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     if len(parts) <= words:
         spans = [(0, len(joined))]
     else:
         spans = list(zip([0, *(ends[: len(parts) - words] + 1).tolist()], ends[words - 1 :].tolist()))
-    total = np.zeros(LONG_BITS, dtype=np.int64)
+    total, seen = np.zeros(LONG_BITS, dtype=np.int64), []
     digest, rounds = xxhash.xxh64_intdigest, LONG_BITS // 64
     odd = (np.arange(rounds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for at in range(0, len(spans), 8192):
         h = np.array([digest(joined[s:e], 42) for s, e in spans[at : at + 8192]], dtype=np.uint64)
+        seen.append(np.unique(h.astype(np.uint32)))
         with np.errstate(over="ignore"):  # further hashes by mixing the first
             x = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * odd[None, :]
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(32)
         total += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(spans)).tobytes()
+    return np.packbits(total * 2 > len(spans)).tobytes(), np.unique(np.concatenate(seen)).view(np.int32)
 
 
 def similarity(distance: np.ndarray, bits: int = LONG_BITS) -> np.ndarray:
@@ -93,6 +101,17 @@ def _run_pairs(fp: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def first_shared(key: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The smallest key of the same fingerprint that two words share; a pair counts there alone."""
+    out = key >> 24 << 24
+    for shift, place in ((0, 12), (23, 0)):
+        part = lambda x: (x >> np.uint64(shift)).astype(np.int64) & (1 << 23) - 1  # noqa: B023, E731
+        x, y = nearby(part(f)), nearby(part(g))
+        x = np.where((x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0), x, 1 << 20).min(axis=1)
+        out = out | x << place
+    return out
+
+
 def candidate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp, node) sorted by key within the task → distinct pairs (a, b), a < b."""
     seen: set[tuple[int, int]] = set()
@@ -114,6 +133,7 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if not len(same):
                 break
             same = same[np.bitwise_count(f[same] ^ f[same + step]) <= DISTANCE]
+            same = same[k[same] == first_shared(k[same], f[same], f[same + step])]
             a, b = m[same], m[same + step]
             seen.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
 
@@ -162,7 +182,7 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), b.column(2)], ["doc_id", "e1", "e2", "fps", "t"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("t"))
-    rows = materialise(source.mapInArrow(prints, "doc_id long, e1 long, e2 long, fps array<long>, t long"), "copies-prints")
+    rows = materialise(source.mapInArrow(lean(prints), "doc_id long, e1 long, e2 long, fps array<long>, t long"), "copies-prints")
     # e1 names a class of equal texts; e2 guards it
     classes = rows.groupBy("e1", "e2").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.min("t").alias("t"))
     classes = materialise(classes.select(F.col("e1").bitwiseXOR(F.col("e2")).alias("node"), "e1", "e2", "first", "fps", "t"), "copies-classes")
@@ -178,8 +198,8 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
                     key = k << 24 | x[r, i] << 12 | y[r, j]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f[r]), pa.array(node[at : at + 2000][r])], ["key", "fp", "node"])
 
-    keys = classes.where("fps is not null").select("node", "fps").mapInArrow(expand, "key long, fp long, node long")
-    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(candidate_pairs, "a long, b long")
+    keys = classes.where("fps is not null").select("node", "fps").mapInArrow(lean(expand), "key long, fp long, node long")
+    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(candidate_pairs), "a long, b long")
     pairs = materialise(pairs.distinct(), "copies-pairs")
     # long fingerprints of the first document of each class with candidates
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", F.col("first").alias("doc_id"), "t")
@@ -188,25 +208,40 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
     def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [long_print(t.encode("utf-8", "surrogatepass").lower().split(), words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["node", "print"])
+            prints, sets = zip(*got) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], ["node", "print", "shingles"])
 
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     # a class's first document, by id; of repeated ids, any row of the class
     long = source.join(side.select("node", "doc_id", F.col("t").alias("t2")), "doc_id").where("text is not null").select("node", "text", "t", "t2")
     of = rows.select("t", F.col("e1").bitwiseXOR(F.col("e2")).alias("node")).distinct() if classes.groupBy("first").count().where("count > 1 and first is not null").limit(1).count() else None
     long = long.join(of, ["t", "node"], "left_semi") if of is not None else long
-    long = materialise(long.select("node", "text").mapInArrow(lengthen, "node long, print binary").dropDuplicates(["node"]), "copies-long")
+    long = materialise(long.select("node", "text").mapInArrow(lean(lengthen), "node long, print binary, shingles array<int>").dropDuplicates(["node"]), "copies-long")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(-1, LONG_BITS // 64) for i in (2, 3))
-            ok = similarity(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) >= least
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["src", "dst"])
+            j = similarity(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
+            ok = j >= least - UNSURE
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(j[ok] >= least + UNSURE)], ["src", "dst", "sure"])
 
-    one, two = long.select(F.col("node").alias("a"), F.col("print").alias("p")), long.select(F.col("node").alias("b"), F.col("print").alias("q"))
-    links = pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(verify, "src long, dst long")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["src", "dst"])
+
+    side = lambda n, c: long.select(F.col("node").alias(n), F.col(c).alias(f"{n}_{c}"))
+    judged = pairs.join(side("a", "print"), "a").join(side("b", "print"), "b").select("a", "b", "a_print", "b_print").mapInArrow(lean(verify), "src long, dst long, sure boolean")
+    judged = materialise(judged, "copies-judged")
+    unsure = judged.where("not sure").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    decided = unsure.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(lean(decide), "src long, dst long")
+    links = judged.where("sure").select("src", "dst").union(decided)
     parts = connected_components(links).select("node", F.col("component").alias("part"))
     labelled = materialise(classes.join(parts, "node", "left").select("e1", "e2", "first", F.coalesce("part", "node").alias("part")), "copies-parts")
     least_id = materialise(labelled.groupBy("part").agg(F.min("first").alias("stay")), "copies-stay")

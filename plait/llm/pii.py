@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.runtime import ship
+from plait.runtime import lean, ship
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret", "url")
@@ -192,7 +192,7 @@ def detect(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(lean(run), schema)
 
 
 def redacted(text: str | None) -> str | None:
@@ -228,4 +228,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             clean = pa.array([redacted(t) for t in b.column(i).to_pylist()], pa.string())
             yield b.set_column(i, names[i], clean)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

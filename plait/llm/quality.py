@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from plait.runtime import materialise, ship
+from plait.runtime import lean, materialise, ship
 
 ORDER = 4
 #: The quantile of trusted documents' shrunk log-perplexity above which a document is rejected, and a
@@ -129,7 +129,7 @@ def count_types(docs: DataFrame, order: int = ORDER, text: str = "text", lang: s
             yield from flush(g)
 
     schema = "lang string, " + ", ".join(f"{c} long" for c in names) + ", n long"
-    rows = docs.select(F.col(text), F.col(lang)).mapInArrow(run, schema)
+    rows = docs.select(F.col(text), F.col(lang)).mapInArrow(lean(run), schema)
     return rows.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
@@ -186,14 +186,16 @@ def interpolate(shares: list, weights: list, uniform: np.ndarray) -> np.ndarray:
     return p
 
 
-def nats_broadcast(docs: DataFrame, model: Model) -> DataFrame:
+def nats_broadcast(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
     """``docs`` (id, text, lang, …) with ``nats`` and ``n``: minus the log-probability and the number of
     characters, the end included. Texts of unknown languages have null; empty ones zero."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast((model.hashes, model.values, model.uniform, model.order))
     names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("nats", DoubleType()), StructField("n", LongType())])
+    # a text that is not asked for does not come back from the workers
+    back = [c for c in names if with_text or c != "text"]
+    schema = StructType([*(docs.schema[c] for c in back), StructField("nats", DoubleType()), StructField("n", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.__new__(Model)
@@ -231,9 +233,9 @@ def nats_broadcast(docs: DataFrame, model: Model) -> DataFrame:
             for lang in list(held):
                 flush(lang)
             unknown = np.array([lang not in m.uniform for lang in langs], dtype=bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nats, mask=unknown), pa.array(n, mask=unknown)], [*names, "nats", "n"])
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in back), pa.array(nats, mask=unknown), pa.array(n, mask=unknown)], [*back, "nats", "n"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def nats_joined(docs: DataFrame, entries: DataFrame, order: int = ORDER, shards: int = 64) -> DataFrame:
@@ -257,7 +259,7 @@ def nats_joined(docs: DataFrame, entries: DataFrame, order: int = ORDER, shards:
                         ["row", "part", "n", "lang", "hashes"],
                     )
 
-    found = wide.select("row", "text", "lang").mapInArrow(grams, "row long, part long, n long, lang string, hashes array<long>")
+    found = wide.select("row", "text", "lang").mapInArrow(lean(grams), "row long, part long, n long, lang string, hashes array<long>")
     slots = found.select("row", "part", "n", "lang", F.col("hashes")[0].alias("gram"), F.posexplode("hashes").alias("slot", "hash"))
     # a common gram is a hot key: it is dealt over shards, and each shard has a copy of the entries
     slots = slots.withColumn("shard", F.pmod(F.col("row"), F.lit(shards)))
@@ -283,21 +285,22 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("trusted"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """``docs`` with ``nats``, ``n`` and ``trusted`` added."""
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES, with_text: bool = True) -> DataFrame:
+    """``docs`` with ``nats``, ``n`` and ``trusted`` added, and without the texts if told so."""
     ids = trusted_ids(labels)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.join(ids, "doc_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("trusted", F.lit(False)).alias("trusted"))
     entries = train(marked.where("trusted and text is not null and lang is not null").select("text", "lang"), order)
     if entries.count() > broadcast_entries:
-        return nats_joined(marked, entries, order)
+        found = nats_joined(marked, entries, order)
+        return found if with_text else found.drop("text")
     langs = [r.lang for r in marked.where("trusted and lang is not null and text != ''").select("lang").distinct().collect()]
     keys = {r.lang: r.u for r in docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string").select("lang", F.xxhash64(F.lit("uniform"), "lang").alias("u")).collect()} if langs else {}
     got = entries.toArrow()  # broadcast_entries at most
     model = Model(got.column("hash").to_numpy(), got.column("value").to_numpy(), {}, order)
     model.uniform = {lang: float(model.lookup(np.array([u]))[0]) for lang, u in keys.items()}
-    return nats_broadcast(marked, model)
+    return nats_broadcast(marked, model, with_text)
 
 
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK, with_text: bool = True) -> DataFrame:
@@ -309,9 +312,8 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     never trusted; repeated rows stay repeated. Without trusted documents all are kept. Scores are
     written once, with the texts unless ``with_text`` is false.
     """
-    scored = perplexities(docs, labels, order)
     names = [c for c in docs.columns if with_text or c != "text"]
-    scored = materialise(scored if with_text else scored.drop("text"), "perplexity")
+    scored = materialise(perplexities(docs, labels, order, with_text=with_text), "perplexity")
     means = scored.where("trusted and n > 0").groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("mean"))  # a row per language
     score = (F.col("nats") + shrink * F.col("mean")) / (F.col("n") + shrink)
     smooth = scored.join(F.broadcast(means), "lang", "left").withColumn("score", score)

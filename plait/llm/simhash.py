@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plait.operators.components import connected_components
-from plait.runtime import materialise, ship
+from plait.runtime import lean, materialise, ship
 
 RADIUS = 4
 #: The generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the binary Golay code.
@@ -212,7 +212,7 @@ def with_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", id: s
             fps = np.fromiter((fingerprint(t, words) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -231,7 +231,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 row, key = keys_of(f.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f[row]), pa.array(m[row])], ["key", "fp", "node"])
 
-    keys = fps.select("fp", "node").mapInArrow(expand, "key long, fp long, node long")
+    keys = fps.select("fp", "node").mapInArrow(lean(expand), "key long, fp long, node long")
     dealt = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return dealt.mapInArrow(lambda it: link_runs(it, radius), "src long, dst long")
 

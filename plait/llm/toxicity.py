@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.runtime import materialise, ship
+from plait.runtime import lean, materialise, ship
 
 #: Labelled documents that the lexicon and the model are fitted on, at most (smallest hashes first).
 SAMPLE = 20_000
@@ -181,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Lexicon({}, set(), (math.log((n1 + 0.5) / (n0 + 0.5)), 0.0, 0.0))
-    counts = train.mapInArrow(words, "word string, tox long, clean long").groupBy("word").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
+    counts = train.mapInArrow(lean(words), "word string, tox long, clean long").groupBy("word").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("tox") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     pooled = (F.col("tox") + F.col("clean") + 1.0) / (n1 + n0 + 2.0)
     z = (F.col("tox") / float(n1) - F.col("clean") / float(n0)) / F.sqrt(pooled * (1 - pooled) * (1.0 / n1 + 1.0 / n0))
@@ -200,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int32())], ["word", "before", "after", "toxic"])
 
-    around = materialise(train.mapInArrow(contexts, "word string, before string, after string, toxic int").distinct(), "toxic-contexts")
+    around = materialise(train.mapInArrow(lean(contexts), "word string, before string, after string, toxic int").distinct(), "toxic-contexts")
     varied = {r.word: r.n for r in around.where("toxic = 1").groupBy("word").agg(F.least(F.count_distinct("before"), F.count_distinct("after")).alias("n")).collect()}
     weights = {w: o for w, (t, o) in entries.items() if varied.get(w, 0) >= max(LEAST_DOCS, min(LEAST_CONTEXTS, 0.5 * t))}
     pair = F.explode(F.array(F.when(F.col("before") != "", F.concat_ws(" ", "before", "word")), F.when(F.col("after") != "", F.concat_ws(" ", "word", "after"))))
@@ -214,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             x = np.array([lexicon.features(t) for t in b.column(0).to_pylist()], dtype=np.float64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(1)], ["x", "y", "toxic"])
 
-    got = train.mapInArrow(measured, "x double, y double, toxic int").toArrow()  # at most SAMPLE rows
+    got = train.mapInArrow(lean(measured), "x double, y double, toxic int").toArrow()  # at most SAMPLE rows
     x = np.column_stack((got.column("x").to_numpy(), got.column("y").to_numpy()))
     lexicon.model = fit_logistic(x, got.column("toxic").to_numpy())
     return lexicon
@@ -232,7 +232,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, cut: float = CUT, text: str = "tex
             s = np.array([own.score(t) for t in b.column(1).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    got = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    got = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(lean(run), "doc_id long, score double, predicted int")
     return got.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

@@ -83,7 +83,9 @@ def test_pack_documents(spark, prose):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("length", packing.F.lit(1))
     rows = packing.pack_documents(df, PATH).collect()
     n = _check(rows, docs, library)
-    assert n <= -(-sum(r.length for r in rows) // 1024) + 2
+    low = packing.bound(np.array([r.length for r in rows]), 1024)
+    assert low <= n <= 1.02 * low + 2
+    assert all(r.part_bins >= r.part_bound for r in rows)
 
 
 def test_edges(spark, edge_docs):
