@@ -248,3 +248,120 @@ def msa_progressive(spark, d):
 def msa_spells_sequences(spark, d):
     """Every path of every graph of :func:`msa_progressive` spells its sequence."""
     return msa_progressive(spark, d).select("grp", "sequences", "bases", "spelled")
+
+
+def _per_ten(spark, d, kernel, schema: str) -> DataFrame:
+    """``kernel(group, {name: sequence})`` → rows, over the event sequences of each ten users."""
+    ship(spark)
+    s = A.event_sequences(spark, d).withColumn("grp", F.expr("name div 10"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:  # ten sequences
+        return pd.DataFrame(kernel(int(rows["grp"].iloc[0]), {str(n): s for n, s in sorted(zip(rows["name"], rows["seq"]))}), columns=names)
+
+    return s.groupBy("grp").applyInPandas(run, schema)
+
+
+@query()
+def variant_matrix(spark, d):
+    """Alleles of every path at the innermost superbubbles of each group's alignment."""
+    from plait.tools.variants import variant_matrix as matrix
+
+    def kernel(grp, seqs):
+        return [(grp, s, t, kind, name, allele) for s, t, kind, by in matrix(progressive.align(seqs)) for name, allele in by.items()]
+
+    return _per_ten(spark, d, kernel, "grp long, entrance long, exit long, kind string, path string, allele string")
+
+
+@query()
+def universal_bridges(spark, d):
+    from plait.tools.variants import universal_bridges as bridges
+
+    def kernel(grp, seqs):
+        return [(grp, a, b, name, lo, hi) for a, b, at in bridges(progressive.align(seqs)) for name, (lo, hi) in at.items()]
+
+    return _per_ten(spark, d, kernel, "grp long, src long, dst long, path string, first long, last long")
+
+
+@query(f"with {A.SQL_EVENT_SEQS} select name // 10 as grp, count(*)::bigint as kept, sum(length(seq))::bigint as bases from eseqs where substr(seq, 1, 1) <> 'C' group by 1")
+def remove_samples(spark, d):
+    """Each group's graph without the paths that begin with an error; the others spell what they did."""
+    from plait.operators.trees import in_order
+    from plait.sources import newick
+    from plait.tools.variants import without_samples
+
+    def kernel(grp, seqs):
+        g, _ = without_samples(progressive.align(seqs), newick.parse(in_order(list(seqs))), {n for n, s in seqs.items() if s[0] == "C"})
+        return [(grp, len(g.paths), sum(len(g.spelled(n)) if g.spelled(n) == seqs[n] else 0 for n in g.paths))]
+
+    return _per_ten(spark, d, kernel, "grp long, kept long, bases long")
+
+
+@query()
+def simulate_and_compare(spark, d):
+    """Repeat arrays evolved down the tree of each nation's suppliers, neighbours aligned and held against
+    the truth."""
+    from plait.operators.trees import in_order
+    from plait.sources import newick
+    from plait.tools import simulate as sim
+
+    ship(spark)
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("name"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:  # a nation's suppliers share one root
+        import numpy as np
+
+        nation, names = int(rows["nation"].iloc[0]), sorted(map(str, rows["name"]))
+        root = sim.repeat_array(np.random.default_rng(nation), 12, 2, 5)
+        leaves = sim.simulate(newick.parse(in_order(names)), root, monomer=12, monomers=2, seed=nation)
+        out = []
+        for a, b in zip(names, names[1:]):
+            (x, ox), (y, oy) = leaves[a], leaves[b]
+            m = sim.compare(progressive.pairwise(x, y)[0], ox, oy)
+            out.append((nation, a, b, m["match_rate"], m["completeness"], m["accuracy"]))
+        return pd.DataFrame(out, columns=["nation", "a", "b", "match_rate", "completeness", "accuracy"])
+
+    return s.groupBy("nation").applyInPandas(run, "nation long, a string, b string, match_rate double, completeness double, accuracy double")
+
+
+@query()
+def induced_cyclic_pairwise(spark, d):
+    """Colinear blocks of neighbouring users' walks through the cyclic graph of event types and days."""
+    from plait.kernels.cyclic import blocks
+
+    ship(spark)
+    node = F.concat_ws("@", "event_type", F.date_format("ts", "yyyy-MM-dd-HH"))
+    walk = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", node.alias("n")))), lambda x: x["n"])
+    w = table(spark, d, "events").groupBy(F.col("user_id").alias("name")).agg(walk.alias("seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(x, y, k, blk[0][0], blk[0][1], len(blk)) for x, y, p, q in zip(*(b.column(i).to_pylist() for i in range(4))) for k, blk in enumerate(blocks(p, q))]
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["name1", "name2", "block", "begin1", "begin2", "columns"])
+
+    return A.neighbours(w).mapInArrow(run, "name1 long, name2 long, block long, begin1 long, begin2 long, columns long")
+
+
+@query(f"with {A.SQL_EVENT_SEQS}, s as (select name, i - 1 as pos, substr(seq, i::int) as suffix from (select name, seq, unnest(range(1, length(seq) + 1)) as i from eseqs)) select name, pos as start, row_number() over (partition by name order by suffix) - 1 as rank from s")
+def suffix_arrays(spark, d):
+    from plait.kernels.strings import suffix_array
+
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(n, int(i), r) for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r, i in enumerate(suffix_array([ord(c) for c in s]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], ["name", "start", "rank"])
+
+    return A.event_sequences(spark, d).mapInArrow(run, "name long, start long, rank long")
+
+
+@query(f"with {A.SQL_EVENT_SEQS} select (name // 10)::varchar as job, count(*)::int as sequences, sum(length(seq))::bigint as bases from eseqs group by 1")
+def executor_run(spark, d):
+    """The executor over jobs of ten users, once more with half of the results finished."""
+    from plait.plans import executor
+
+    jobs = executor.jobs_of(A.event_sequences(spark, d).select(F.expr("name div 10").alias("job"), F.col("name").cast("string").alias("name"), "seq"))
+    done = executor.run(jobs)
+    return done.select("job", F.size("names").alias("sequences"), F.aggregate("paths", F.lit(0).cast("long"), lambda a, p: a + F.size(p)).alias("bases"))

@@ -103,21 +103,24 @@ def layers(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(node_id, layer): the longest walk to each node, a topological order by layers. Layers are peeled
     from the sources; a cycle is an error."""
     shared_dir(nodes.sparkSession)
-    todo = make_simple(edges).checkpoint()
-    left = nodes.select("node_id").distinct().checkpoint()
-    out, layer = None, 0
-    while left.limit(1).count():
-        if layer >= most:
+    left = make_simple(edges).checkpoint()
+    n, taken = left.count(), []
+    while n:
+        if len(taken) >= most:
             raise ValueError(f"more than {most} layers")
-        top = left.join(todo.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_anti").checkpoint()
-        if not top.limit(1).count():
+        tops = left.select("src").distinct().join(left.select(F.col("dst").alias("src")), "src", "left_anti")
+        marked = left.join(tops.withColumn("top", F.lit(True)), "src", "left").checkpoint()
+        # a node lies one below the last layer that an edge into it leaves
+        taken.append(marked.where("top").select(F.col("dst").alias("node_id"), F.lit(len(taken) + 1).alias("layer")))
+        left = marked.where("top is null").select("src", "dst")
+        rest = left.count()
+        if rest == n:
             raise ValueError("the graph has a cycle")
-        named = top.select("node_id", F.lit(layer).alias("layer"))
-        out = named if out is None else out.union(named)
-        left = left.join(top, "node_id", "left_anti").checkpoint()
-        todo = todo.join(top.select(F.col("node_id").alias("src")), "src", "left_anti").select("src", "dst").checkpoint()
-        layer += 1
-    return out if out is not None else left.select("node_id", F.lit(0).alias("layer"))
+        n = rest
+    out = nodes.select("node_id", F.lit(0).alias("layer"))
+    for t in taken:
+        out = out.union(t)
+    return out.groupBy("node_id").agg(F.max("layer").alias("layer")).checkpoint()
 
 
 def is_acyclic(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> bool:

@@ -365,14 +365,14 @@ def diagonal_mask(spark, d):
     return matching.diagonal_mask(s)
 
 
-@query("""with p as (select l_orderkey as pair_id, list(l_partkey order by l_partkey, l_suppkey, l_linenumber) as a, list(l_suppkey order by l_partkey, l_suppkey, l_linenumber) as b from lineitem group by 1),
-  x as (select pair_id, unnest(a) as n1, unnest(b) as n2 from p), c as (select distinct n1, n2 from x where pair_id % 100 = 0)
-  select distinct x.pair_id from x join c using (n1, n2)""")
+@query("""with x as (select l_orderkey as pair_id, l_partkey as n1, l_suppkey as n2, l_returnflag as f from lineitem)
+  select distinct pair_id from x where f = 'N' and (n1, n2) in (select (n1, n2) from x where f = 'A')""")
 def chain_mask(spark, d):
-    """Pairs that overlap a chain; here the chain holds every hundredth order."""
+    """Pairs of one return flag that overlap a chain, the pairs of another."""
     at = F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber")))
-    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id")).agg(at.alias("x")).select("pair_id", F.transform("x", lambda r: r["l_partkey"]).alias("nodes1"), F.transform("x", lambda r: r["l_suppkey"]).alias("nodes2"))
-    return matching.chain_mask(p, p.where("pair_id % 100 = 0"))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id"), "l_returnflag").agg(at.alias("x"))
+    p = p.select("pair_id", "l_returnflag", F.transform("x", lambda r: r["l_partkey"]).alias("nodes1"), F.transform("x", lambda r: r["l_suppkey"]).alias("nodes2"))
+    return matching.chain_mask(p.where("l_returnflag = 'N'"), p.where("l_returnflag = 'A'"))
 
 
 # --- alignments ----------------------------------------------------------------------------------
