@@ -5,7 +5,7 @@ closer copies than a Jaccard similarity of 0.8 over five-word shingles: at 0.8 a
 Here the same codes find the candidates on features that change less, and similarity decides:
 
 1. texts equal up to case and white space are one class, kept by its first document;
-2. a class has five fingerprints of 46 bits over its words; both 23-bit segments are decoded
+2. a class has four fingerprints of 46 bits over its distinct words; both 23-bit segments are decoded
    to their nearby codewords, and pairs of these are the keys (about 28 a fingerprint). Classes that
    differ in at most two bits of either segment of some fingerprint share a key;
 3. candidates are verified by the similarity of their five-word shingles: SimHashes of 1024 bits settle
@@ -19,7 +19,6 @@ give all its pairs: each member meets its
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,22 +32,21 @@ from plait.operators.components import connected_components
 from plait.runtime import lean, materialise, ship
 
 WORDS, SIMILARITY = 5, 0.8
-PRINTS, LONG_BITS = 5, 1024
+PRINTS, LONG_BITS = 4, 1024
 SEEDS = -(-46 * PRINTS // 128)
-DENSE, NEAREST, HUBS, DISTANCE = 24, 8, 4, 4
+DENSE, NEAREST, HUBS, DISTANCE = 24, 4, 2, 4
 BROADCAST_ROWS = 2_000_000
 #: Estimates within this of the threshold are checked exactly; about five standard errors.
 UNSURE = 0.08
 
 
 def word_prints(parts: list[bytes]) -> list[int]:
-    """PRINTS fingerprints of 46 bits over the words, weighted by the root of their number."""
-    counts = Counter(parts)
+    """PRINTS fingerprints of 46 bits over the distinct words."""
+    words = set(parts)
     digest = xxhash.xxh3_128_digest
-    raw = b"".join([digest(w, k) for w in counts for k in range(SEEDS)])
+    raw = b"".join([digest(w, k) for w in words for k in range(SEEDS)])
     bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 16 * SEEDS), axis=1)[:, : 46 * PRINTS]
-    weight = np.sqrt(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)))
-    on = (weight @ bits.astype(np.float32) * 2 > weight.sum()).reshape(PRINTS, 46)
+    on = (bits.sum(axis=0, dtype=np.int64) * 2 > len(words)).reshape(PRINTS, 46)
     return (on.astype(np.int64) << np.arange(46, dtype=np.int64)).sum(axis=1).tolist()
 
 
@@ -82,8 +80,8 @@ def similarity(distance: np.ndarray, bits: int = LONG_BITS) -> np.ndarray:
     return c / (2 - c)
 
 
-def _run_pairs(fp: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate pairs (positions) of one dense run."""
+def _run_pairs(fp: np.ndarray, node: np.ndarray, key: int) -> list[tuple[int, int]]:
+    """Candidate pairs (positions) of one dense run, of those that share no smaller key."""
     n, out = len(fp), []
     hubs: np.ndarray | None = None
     bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1)
@@ -94,11 +92,14 @@ def _run_pairs(fp: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
         d[np.arange(len(d)), np.arange(at, at + len(d))] = 99
         k = min(NEAREST, n - 1)
         near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k]
-        ok = np.take_along_axis(d, near, axis=1) <= 2 * DISTANCE
+        ok = np.take_along_axis(d, near, axis=1) <= DISTANCE
         i, j = np.nonzero(ok)
         out += zip((i + at).tolist(), near[i, j].tolist())
-    out += [(i, h) for h in hubs.tolist() for i in range(n) if i != h]
-    return out
+    for h in hubs.tolist():
+        out += [(i, h) for i in np.flatnonzero(np.bitwise_count(fp ^ fp[h]) <= 2 * DISTANCE).tolist() if i != h]
+    at = np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 2)
+    keep = first_shared(np.full(len(at), key), fp[at[:, 0]], fp[at[:, 1]]) == key
+    return list(map(tuple, at[keep].tolist()))
 
 
 def first_shared(key: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -124,7 +125,7 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         u = fp.view(np.uint64)
         for s, n in zip(start[length > DENSE].tolist(), length[length > DENSE].tolist()):
             own = node[s : s + n].tolist()
-            seen.update((min(own[i], own[j]), max(own[i], own[j])) for i, j in _run_pairs(np.ascontiguousarray(u[s : s + n]), node[s : s + n]))
+            seen.update((min(own[i], own[j]), max(own[i], own[j])) for i, j in _run_pairs(np.ascontiguousarray(u[s : s + n]), node[s : s + n], int(key[s])))
         size = np.repeat(length, length)
         keep = np.flatnonzero((size > 1) & (size <= DENSE))
         k, f, m = key[keep], u[keep], node[keep]

@@ -59,10 +59,29 @@ def test_groups(spark):
 def test_dense_run():
     rng = random.Random(2)
     centre = rng.getrandbits(46)
-    fp = np.array([centre] + [centre ^ (1 << rng.randrange(46)) ^ (1 << rng.randrange(46)) for _ in range(3000)], dtype=np.uint64)
-    pairs = near_copies._run_pairs(fp, np.arange(len(fp)))
-    assert len(pairs) <= len(fp) * (near_copies.NEAREST + near_copies.HUBS)
-    assert {i for i, _ in pairs} | {j for _, j in pairs} == set(range(len(fp)))
+    fp = np.array([centre] + [centre ^ (1 << rng.randrange(46)) ^ (1 << rng.randrange(46)) for _ in range(1500)], dtype=np.uint64)
+    low, high = (near_copies.nearby((fp >> np.uint64(s)).astype(np.int64) & (1 << 23) - 1) for s in (0, 23))
+    runs, pairs = {}, set()
+    for i in range(len(fp)):
+        for x in low[i][low[i] >= 0].tolist():
+            for y in high[i][high[i] >= 0].tolist():
+                runs.setdefault(x << 12 | y, []).append(i)
+    for key, m in runs.items():
+        if len(m) > near_copies.DENSE:
+            m = np.array(m)
+            pairs |= {(int(m[i]), int(m[j])) for i, j in near_copies._run_pairs(np.ascontiguousarray(fp[m]), m, key)}
+    up = list(range(len(fp)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[find(a)] = find(b)
+    # few pairs, and nearly all members hang together
+    assert len(pairs) <= 40 * len(fp)
+    assert max(np.bincount([find(i) for i in range(len(fp))])) > 0.95 * len(fp)
 
 
 def test_edges(spark, edge_docs):
