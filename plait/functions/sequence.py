@@ -27,9 +27,10 @@ def letters_to_bases(text: Column | str) -> Column:
 
 
 def kmers(seq: Column | str, k: int) -> Column:
-    """All substrings of length k in order; an empty array if there are none."""
-    n = F.length(seq)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of length k in order, by overlapping matches in one pass; an empty array if there
+    are none."""
+    seq = F.col(seq) if isinstance(seq, str) else seq
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
 def saturating_add(a: Column, b: Column) -> Column:

@@ -365,3 +365,55 @@ def executor_run(spark, d):
     jobs = executor.jobs_of(A.event_sequences(spark, d).select(F.expr("name div 10").alias("job"), F.col("name").cast("string").alias("name"), "seq"))
     done = executor.run(jobs)
     return done.select("job", F.size("names").alias("sequences"), F.aggregate("paths", F.lit(0).cast("long"), lambda a, p: a + F.size(p)).alias("bases"))
+
+
+@query()
+def graph_snarls(spark, d):
+    """Chains of snarls of each group's alignment, with the lengths of walks through them."""
+
+    def kernel(grp, seqs):
+        g = progressive.align(seqs)
+        edges = sorted(g.edges)
+        return [(grp, c, k, s, t, *T.snarl_lengths(len(g.labels), edges, (s, t))) for c, chain in enumerate(T.snarls(len(g.labels), edges)) for k, (s, t) in enumerate(chain)]
+
+    return _per_ten(spark, d, kernel, "grp long, chain long, place long, start long, end long, shortest long, longest long")
+
+
+@query(f"""with {A.SQL_EVENT_SEQS} select a.name // 10 as grp, a.name::varchar as path1, b.name::varchar as path2, length(a.seq)::bigint as n1, length(b.seq)::bigint as n2
+  from eseqs a join eseqs b on b.name // 10 = a.name // 10 and a.name < b.name""")
+def all_pairs_consumed(spark, d):
+    """What the CIGAR of every pair of paths in each group's graph consumes on either side."""
+    return all_pairs_cigar(spark, d).select("grp", "path1", "path2", "n1", "n2")
+
+
+@query()
+def all_pairs_cigar(spark, d):
+    """Alignments that shared nodes imply for all pairs of paths of each group's graph."""
+    from plait.kernels.cyclic import close_short_gaps
+
+    def kernel(grp, seqs):
+        g, out = progressive.align(seqs), []
+        names = list(g.paths)
+        for i, a in enumerate(names):
+            at = {v: k for k, v in enumerate(g.paths[a])}
+            for b in names[i + 1 :]:
+                shared = [(at[v], k) for k, v in enumerate(g.paths[b]) if v in at]
+                aln = close_short_gaps(K.with_gaps(shared, len(g.paths[a]), len(g.paths[b])))
+                out.append((grp, a, b, K.cigar(aln, seqs[a], seqs[b]), sum(x is not None for x, _ in aln), sum(y is not None for _, y in aln)))
+        return out
+
+    return _per_ten(spark, d, kernel, "grp long, path1 string, path2 string, cigar string, n1 long, n2 long")
+
+
+_PLACES = """places as (select l_partkey as set_id, l_linenumber % 2 as side, l_returnflag as path, l_suppkey * 10 as b, l_suppkey * 10 + l_quantity::bigint as e from lineitem),
+  regions as (select n_nationkey as region, f as path, n_nationkey * 37 as b2, n_nationkey * 37 + 25 as e2 from nation cross join (values ('A'), ('N'), ('R')) t(f))"""
+
+
+@query(f"with {_PLACES} select region, set_id, side, count(*)::bigint as count, max(least(e, e2) - greatest(b, b2))::bigint as length from places join regions on regions.path = places.path and b < e2 and b2 < e group by all")
+def induced_matches(spark, d):
+    l = table(spark, d, "lineitem")
+    begin = F.col("l_suppkey") * 10
+    places = l.select(F.col("l_partkey").alias("set_id"), (F.col("l_linenumber") % 2).alias("side"), F.col("l_returnflag").alias("path"), begin.alias("begin"), (begin + F.col("l_quantity").cast("long")).alias("end"))
+    at = F.col("n_nationkey").cast("long") * 37
+    regions = table(spark, d, "nation").select(F.col("n_nationkey").alias("region"), F.explode(F.array(*map(F.lit, "ANR"))).alias("path"), at.alias("begin2"), (at + 25).alias("end2"))
+    return matching.induced_matches(places, regions, 64)

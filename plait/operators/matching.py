@@ -110,3 +110,22 @@ def within_budget(sets: DataFrame, budget: int) -> DataFrame:
     taken = levels.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(scan, "weight double, pairs long, m long")
     rank = F.row_number().over(Window.partitionBy("weight", "pairs").orderBy("set_id"))
     return sets.withColumn("k", rank).join(taken, ["weight", "pairs"]).where("k <= m").select(*sets.columns)
+
+
+def overlapping(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """Range join of intervals: rows of ``a`` (path, begin, end, …) with rows of ``b`` (path, begin2, end2, …)
+    that overlap, ends exclusive. Intervals are dealt to bins of ``width``; a pair is kept in the first bin
+    that both touch, so the join is an equality and no pair is doubled."""
+    bins = lambda s, e: F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width))
+    left = a.where("end > begin").withColumn("bin", F.explode(bins("begin", "end")))
+    right = b.where("end2 > begin2").withColumn("bin", F.explode(bins("begin2", "end2")))
+    first = F.floor(F.greatest("begin", "begin2") / width)
+    return left.join(right, ["path", "bin"]).where((F.col("begin") < F.col("end2")) & (F.col("begin2") < F.col("end")) & (F.col("bin") == first)).drop("bin")
+
+
+def induced_matches(places: DataFrame, regions: DataFrame, width: int = 1000) -> DataFrame:
+    """(region, set_id, side, count, length): global match places (set_id, side, path, begin, end) projected
+    into regions (region, path, begin2, end2): the stretches inside, counted, and the longest of them."""
+    met = overlapping(places, regions, width)
+    inside = F.least("end", "end2") - F.greatest("begin", "begin2")
+    return met.groupBy("region", "set_id", "side").agg(F.count("*").alias("count"), F.max(inside).alias("length"))

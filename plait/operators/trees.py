@@ -129,6 +129,19 @@ class Tree:
         gone = {n for n in range(len(self.parent)) if self.parent[n] is not None and self.children[n] and self.distance[n] == 0.0}
         return self.copy_from(lambda n: n not in gone)
 
+    def copy_expanded(self, copies: dict[str, int]) -> Tree:
+        """Leaves with several copies become nodes above ``label/1``, ``label/2`` and so on; leaves without
+        any go, and so do nodes that bear none."""
+        count = [0] * len(self.parent)
+        for n in self.postorder():
+            count[n] = sum(count[c] for c in self.children[n]) if self.children[n] else copies.get(self.label[n], 0)
+        out = self.copy_from(lambda n: count[n] > 0)
+        for n in range(len(out.parent)):
+            if not out.children[n] and copies.get(out.label[n], 0) > 1:
+                for k in range(copies[out.label[n]]):
+                    out.add(n, f"{out.label[n]}/{k + 1}", None if out.distance[n] is None else 0.0)
+        return out
+
     def lca(self, a: int, b: int) -> int:
         up = {a}
         n = a

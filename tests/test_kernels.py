@@ -306,3 +306,24 @@ def test_variant_classes():
     assert [T.variant_class(*x) for x in T.lengths(succ, b)] == ["SNP", "indel"]
     assert T.variant_class(4, 9) == "MNV" and T.variant_class(2, 60) == "SV"
     assert T.nesting([(0, 9), (1, 3), (3, 8)], {i: i for i in range(10)}) == [None, 0, 0]
+
+
+def test_snarls():
+    edges = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (3, 5), (4, 6), (5, 6)]
+    assert T.snarls(7, edges) == [[(0, 3), (3, 6)]]
+    assert T.snarl_lengths(7, edges, (0, 3)) == (3, 3)
+    loop = [(0, 1), (1, 2), (2, 1), (2, 3)]
+    assert T.snarls(4, loop) and all(T.snarl_lengths(4, loop, s)[1] in (-1, 2, 3, 4) for c in T.snarls(4, loop) for s in c)
+    assert T.snarl_lengths(4, loop, (0, 3)) == (4, -1)
+    rng = random.Random(13)
+    for _ in range(150):
+        g = random_dag(rng, rng.randrange(2, 9))
+        n = len(g.succ)
+        succ = [[x + 1 for x in s] or [n + 1] for s in g.succ]
+        succ = [[x + 1 for x in g.sources], *succ, []]
+        e = [(a, b) for a, out in enumerate(succ) for b in out]
+        found = {s for c in T.snarls(len(succ), e) for s in c}
+        for s, t in T.superbubbles(succ):
+            assert (s, t) in found
+            lo, hi = T.lengths(succ, [(s, t)])[0]
+            assert T.snarl_lengths(len(succ), e, (s, t)) == (lo, hi)

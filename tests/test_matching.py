@@ -56,3 +56,14 @@ def test_budget(spark):
 def test_masks(spark):
     pairs = spark.createDataFrame([(1, [1, 2, 3], [7, 8, 9]), (2, [2, 5], [8, 1]), (3, [2, 5], [9, 1])], "pair_id long, nodes1 array<long>, nodes2 array<long>")
     assert sorted(r.pair_id for r in M.chain_mask(pairs, pairs.where("pair_id = 1")).collect()) == [1, 2]
+
+
+def test_range_join(spark):
+    rng = random.Random(4)
+    a = [(i, rng.randrange(2), rng.choice("xy"), b := rng.randrange(300), b + rng.randrange(1, 90)) for i in range(80)]
+    r = [(i, rng.choice("xy"), b := rng.randrange(300), b + rng.randrange(1, 60)) for i in range(20)]
+    places = spark.createDataFrame(a, "set_id long, side int, path string, begin long, end long")
+    regions = spark.createDataFrame(r, "region long, path string, begin2 long, end2 long")
+    got = sorted(tuple(x) for x in M.induced_matches(places, regions, 25).collect())
+    want = sorted((i, s, side, 1, min(e, e2) - max(b, b2)) for i, p2, b2, e2 in r for s, side, p, b, e in a if p == p2 and b < e2 and b2 < e)
+    assert got == want
