@@ -327,3 +327,15 @@ def test_snarls():
             assert (s, t) in found
             lo, hi = T.lengths(succ, [(s, t)])[0]
             assert T.snarl_lengths(len(succ), e, (s, t)) == (lo, hi)
+
+
+def test_graph_to_chain_equals_partial_order():
+    rng = random.Random(14)
+    for s in (K.Scoring(5, 4, (3, 9), (4, 1)), K.Scoring(), K.Scoring(2, 1, (0,), (2,))):
+        for _ in range(60):
+            g, h = random_dag(rng, rng.randrange(1, 10)), K.chain(seq(rng, rng.randrange(1, 10), "AC"))
+            score, aln = K.graph_to_chain(g, h, s)
+            assert score == K.partial_order(g, h, s)[0] == K.rescore(aln, g.labels, h.labels, s)
+            walk = [x for x, _ in aln if x is not None]
+            assert [y for _, y in aln if y is not None] == list(range(len(h)))
+            assert walk[0] in g.sources and walk[-1] in g.sinks and all(b in g.succ[a] for a, b in zip(walk, walk[1:]))
