@@ -66,17 +66,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _USABLE = """select vec_id, embedding from embeddings where vec_id is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0"""
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_line_window_dedup": line_dedup.SQL,
         "op3_maxscore_top_k": f"""
-with rows as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as w from ({_USABLE})),
+with rows as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as w from ({_USABLE})),
 scored as (
   select q.vec_id as query_id, r.vec_id,
-         list_sum(list_transform(range(1, len(q.w) + 1), i -> q.w[i] * r.w[i]))::bigint as score
+         list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * r.w[i]))::bigint as score
   from rows q join rows r on q.vec_id % 100 = 0 and r.vec_id <> q.vec_id),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 10"""
