@@ -8,13 +8,17 @@ Here the same codes find the candidates on features that change less, and simila
 2. a class has four fingerprints of 46 bits over its distinct words; both 23-bit segments are decoded
    to their nearby codewords, and pairs of these are the keys (about 28 a fingerprint). Classes that
    differ in at most two bits of either segment of some fingerprint share a key;
-3. candidates are verified by the similarity of their five-word shingles: SimHashes of 1024 bits settle
-   what is further than ``UNSURE`` from 0.8, and the sets of shingles decide the rest exactly;
-4. of each component of links the document with the smallest id stays.
-
-A pair is taken at the first key that it shares. A key's run that is longer than ``DENSE`` does not
-give all its pairs: each member meets its
-``NEAREST`` nearest and the run's ``HUBS`` most central members, of which a source of copies is one.
+3. candidates are verified by the sets of their five-word shingles: counts of shingles in ``BINS`` bins
+   bound how far two sets differ and rule out what cannot reach 0.8, and the sets decide the rest;
+4. a second pass finds every link between parts that the first leaves apart, by exact prefix filtering:
+   shingles are ordered from rare to common, and two sets at 0.8 share one among the first fifth
+   of each, whatever was edited. Members of one part need not meet again, so a cluster that the first
+   pass joins gives no pairs;
+5. of each component of links the document with the smallest id stays.
+
+In the first pass a pair is taken at the first key that it shares, and a key's run that is longer than
+``DENSE`` does not give all its pairs: each member meets its ``NEAREST`` nearest and the run's ``HUBS``
+most central members, of which a source of copies is one. What that leaves out is for the second pass.
 """
 
 from __future__ import annotations
@@ -36,8 +40,12 @@ PRINTS, LONG_BITS = 4, 1024
 SEEDS = -(-46 * PRINTS // 128)
 DENSE, NEAREST, HUBS, DISTANCE = 24, 4, 2, 4
 BROADCAST_ROWS = 2_000_000
-#: Estimates within this of the threshold are checked exactly; about five standard errors.
-UNSURE = 0.08
+#: Bins of a set's counts.
+BINS = 128
+#: Shingles are counted in 2^COUNT_BITS buckets, sent in rows of BLOCK; any counts give the same links.
+COUNT_BITS, BLOCK = 20, 1 << 16
+#: Runs of a shingle up to this length are compared by offsets; pairs that a task holds at a time.
+SHORT_RUN, HELD_PAIRS = 48, 500_000
 
 
 def word_prints(parts: list[bytes]) -> list[int]:
@@ -50,27 +58,62 @@ def word_prints(parts: list[bytes]) -> list[int]:
     return (on.astype(np.int64) << np.arange(46, dtype=np.int64)).sum(axis=1).tolist()
 
 
+def split(text: str | None) -> list[bytes]:
+    """The lower-cased words of a text."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def class_of(parts: list[bytes]) -> tuple[int, int]:
+    """The two hashes of a class of equal texts; their exclusive or is its node."""
+    whole = xxhash.xxh3_128_intdigest(b" ".join(parts))
+    return whole & (2**63 - 1), (whole >> 64) & (2**63 - 1)
+
+
+def shingle_set(parts: list[bytes], words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of the shingles; a shorter text is one shingle."""
+    one = np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64, count=len(parts))
+    k = min(words, len(parts))
+    n = len(parts) - k + 1
+    h = np.full(n, k, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            h = (h ^ one[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
 def long_print(parts: list[bytes], words: int = WORDS) -> tuple[bytes, np.ndarray]:
-    """SimHash of LONG_BITS bits over the shingles, repeats included, and the sorted set of the lower
-    halves of their hashes."""
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
-    if len(parts) <= words:
-        spans = [(0, len(joined))]
-    else:
-        spans = list(zip([0, *(ends[: len(parts) - words] + 1).tolist()], ends[words - 1 :].tolist()))
-    total, seen = np.zeros(LONG_BITS, dtype=np.int64), []
-    digest, rounds = xxhash.xxh64_intdigest, LONG_BITS // 64
-    odd = (np.arange(rounds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for at in range(0, len(spans), 8192):
-        h = np.array([digest(joined[s:e], 42) for s, e in spans[at : at + 8192]], dtype=np.uint64)
-        seen.append(np.unique(h.astype(np.uint32)))
+    """SimHash of LONG_BITS bits over the distinct shingles, an estimate only, and the set of them."""
+    h = shingle_set(parts, words)
+    total = np.zeros(LONG_BITS, dtype=np.int64)
+    odd = (np.arange(LONG_BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for at in range(0, len(h), 8192):
         with np.errstate(over="ignore"):  # further hashes by mixing the first
-            x = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * odd[None, :]
+            x = (h[at : at + 8192, None] ^ (h[at : at + 8192, None] >> np.uint64(31))) * odd[None, :]
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(32)
         total += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(spans)).tobytes(), np.unique(np.concatenate(seen)).view(np.int32)
+    return np.packbits(total * 2 > len(h)).tobytes(), h
+
+
+def bins_of(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each bin, at most 255."""
+    return np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def overlap(m: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """How many shingles sets of sizes ``m`` and ``n`` share at least at a similarity of ``least``."""
+    return np.ceil(least / (1 + least) * (m + n) - 1e-9).astype(np.int64)
+
+
+def prefix(h: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a set, in an order that all sets share, so many that two sets at ``least``
+    have one of them in common."""
+    n = len(h)
+    order = np.lexsort((h, common[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+    return h[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
 
 
 def similarity(distance: np.ndarray, bits: int = LONG_BITS) -> np.ndarray:
@@ -160,30 +203,121 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from out()
 
 
+def cross_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, node, size, place) sorted by key within the task → pairs (a, b), a < b, of nodes of
+    different parts that share a prefix shingle and whose sizes and places allow a similarity of
+    ``least``. No such pair is left out; at their first common shingle, places bound what can follow."""
+    held: list[tuple] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def may(m: np.ndarray, p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.minimum(m - p, n - q) >= overlap(m, n, least)
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            found.append((np.minimum(a, b), np.maximum(a, b)))
+
+    def take(parts: list) -> Iterator[pa.RecordBatch]:
+        key, part, node, size, place = (np.concatenate(x) for x in zip(*parts))
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.concatenate((start, [len(key)])))
+        mixed = np.logical_or.reduceat(part != np.repeat(part[start], length), start)
+        for s, n in zip(start[mixed & (length > SHORT_RUN)].tolist(), length[mixed & (length > SHORT_RUN)].tolist()):
+            p, v, m, q = (x[s : s + n] for x in (part, node, size, place))
+            names, inverse, count = np.unique(p, return_inverse=True, return_counts=True)
+            few = np.flatnonzero(inverse != count.argmax())  # members of the largest part need not meet
+            for at in range(0, len(few), max(1, 2_000_000 // n)):
+                f = few[at : at + max(1, 2_000_000 // n)]
+                i, j = np.nonzero(may(m[f, None], q[f, None], m[None, :], q[None, :]) & (p[f, None] != p[None, :]))
+                add(v[f[i]], v[j])
+                if sum(len(a) for a, _ in found) > HELD_PAIRS:
+                    yield from out()
+        keep = np.flatnonzero(np.repeat(mixed & (length <= SHORT_RUN), length))
+        k, p, v, m, q = (x[keep] for x in (key, part, node, size, place))
+        for step in range(1, SHORT_RUN):
+            same = np.flatnonzero(k[step:] == k[:-step])
+            if not len(same):
+                break
+            same = same[p[same] != p[same + step]]
+            same = same[may(m[same], q[same], m[same + step], q[same + step])]
+            add(v[same], v[same + step])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if not found:
+            return
+        a, b = (np.concatenate(x) for x in zip(*found))
+        found.clear()
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        a, b = a[new], b[new]
+        for at in range(0, len(a), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 10_000]), pa.array(b[at : at + 10_000])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:  # the last run may go on in the next batch
+            yield from take([*held, tuple(c[:cut] for c in cols)])
+            held = []
+        held.append(tuple(c[cut:] for c in cols))
+        if sum(len(a) for a, _ in found) > HELD_PAIRS:
+            yield from out()
+    if held:
+        yield from take(held)
+    yield from out()
+
+
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """``(doc_id, t, part, stays)`` for every row of ``docs`` (doc_id, text and more): ``t`` is the hash of
     the text, ``part`` names the group, ``stays`` is true for the smallest doc_id of each group.
 
-    Null, empty and blank texts are one group of exact copies each other; rows with a null id come
-    last in their group. Rows that repeat an id and a text share their fate. Very short texts are
+    Null, empty and blank texts are one group of exact copies each other; rows with a null id are
+    compared like any other and come last in their group; of a group without any id, the text with the
+    least hash stays. Rows that repeat an id and a text share their fate. Very short texts are
     compared as a single shingle. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        names = ["doc_id", "e1", "e2", "fps", "t", "block", "counts"]
         for b in batches:
             cols: list[list] = [[], [], []]
             for text in b.column(1).to_pylist():
-                parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                whole = xxhash.xxh3_128_intdigest(b" ".join(parts))
-                cols[0].append((whole & (2**63 - 1)))
-                cols[1].append((whole >> 64) & (2**63 - 1))
+                parts = split(text)
+                e1, e2 = class_of(parts)
+                cols[0].append(e1)
+                cols[1].append(e2)
                 cols[2].append(word_prints(parts) if parts else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), b.column(2)], ["doc_id", "e1", "e2", "fps", "t"])
+                if parts:
+                    np.add.at(counts, (shingle_set(parts, words) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+            none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), b.column(2), *none], names)
+        # how common shingles are in this task: rows of their own
+        blocks = [i for i in range(len(counts) // BLOCK) if counts[i * BLOCK : (i + 1) * BLOCK].any()]
+        none = [pa.nulls(len(blocks), ty) for ty in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())]
+        sent = [np.minimum(counts[i * BLOCK : (i + 1) * BLOCK], 2**32 - 1).astype(np.uint32).tobytes() for i in blocks]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(blocks, pa.int32()), pa.array(sent, pa.binary())], names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("t"))
-    rows = materialise(source.mapInArrow(lean(prints), "doc_id long, e1 long, e2 long, fps array<long>, t long"), "copies-prints")
+    read = materialise(source.mapInArrow(lean(prints), "doc_id long, e1 long, e2 long, fps array<long>, t long, block int, counts binary"), "copies-prints")
+    rows = read.where("block is null").drop("block", "counts")
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(c, dtype=np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+
+    common = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    for r in read.where("block is not null").select("block", "counts").repartition("block").mapInArrow(lean(total), "block int, counts binary").collect():  # 8 MB
+        common[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.int64)
+    common = spark.sparkContext.broadcast(common)
     # e1 names a class of equal texts; e2 guards it
     classes = rows.groupBy("e1", "e2").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.min("t").alias("t"))
     classes = materialise(classes.select(F.col("e1").bitwiseXOR(F.col("e2")).alias("node"), "e1", "e2", "first", "fps", "t"), "copies-classes")
@@ -202,31 +336,29 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
     keys = classes.where("fps is not null").select("node", "fps").mapInArrow(lean(expand), "key long, fp long, node long")
     pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(candidate_pairs), "a long, b long")
     pairs = materialise(pairs.distinct(), "copies-pairs")
-    # long fingerprints of the first document of each class with candidates
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", F.col("first").alias("doc_id"), "t")
-    wanted = materialise(wanted.where("doc_id is not null"), "copies-wanted")
 
     def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            got = [long_print(t.encode("utf-8", "surrogatepass").lower().split(), words) for t in b.column(1).to_pylist()]
-            prints, sets = zip(*got) if got else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], ["node", "print", "shingles"])
-
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    # a class's first document, by id; of repeated ids, any row of the class
-    long = source.join(side.select("node", "doc_id", F.col("t").alias("t2")), "doc_id").where("text is not null").select("node", "text", "t", "t2")
-    of = rows.select("t", F.col("e1").bitwiseXOR(F.col("e2")).alias("node")).distinct() if classes.groupBy("first").count().where("count > 1 and first is not null").limit(1).count() else None
-    long = long.join(of, ["t", "node"], "left_semi") if of is not None else long
-    long = materialise(long.select("node", "text").mapInArrow(lean(lengthen), "node long, print binary, shingles array<int>").dropDuplicates(["node"]), "copies-long")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = []
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts = split(text)
+                e1, e2 = class_of(parts)
+                if node == e1 ^ e2 and node not in seen:  # t may be shared by another text
+                    seen.add(node)
+                    h = shingle_set(parts, words)
+                    got.append((node, len(h), bins_of(h), h.view(np.int64)))
+            nodes, sizes, bins, sets = zip(*got) if got else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "bins", "shingles"])
+
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(-1, LONG_BITS // 64) for i in (2, 3))
-            j = similarity(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
-            ok = j >= least - UNSURE
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(j[ok] >= least + UNSURE)], ["src", "dst", "sure"])
+            m, n = (b.column(i).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
+            ok = pa.array(np.abs(x - y).sum(axis=1) <= m + n - 2 * overlap(m, n, least))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,19 +366,52 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both))
+                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["src", "dst"])
 
-    side = lambda n, c: long.select(F.col("node").alias(n), F.col(c).alias(f"{n}_{c}"))
-    judged = pairs.join(side("a", "print"), "a").join(side("b", "print"), "b").select("a", "b", "a_print", "b_print").mapInArrow(lean(verify), "src long, dst long, sure boolean")
-    judged = materialise(judged, "copies-judged")
-    unsure = judged.where("not sure").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    decided = unsure.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(lean(decide), "src long, dst long")
-    links = judged.where("sure").select("src", "dst").union(decided)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) at ``least`` or more, as (src, dst). A class's text is found by its hash."""
+        wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "t"), "copies-wanted")
+        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        long = source.where("text is not null").join(side, "t").select("node", "text").mapInArrow(lean(lengthen), "node long, size long, bins binary, shingles array<long>")
+        long = materialise(long.dropDuplicates(["node"]), "copies-long")
+        side = lambda n, *c: long.select(F.col("node").alias(n), *(F.col(x).alias(f"{n}_{x}") for x in c))
+        near = pairs.join(side("a", "size", "bins"), "a").join(side("b", "size", "bins"), "b").select("a", "b", "a_size", "b_size", "a_bins", "b_bins")
+        near = materialise(near.mapInArrow(lean(rule_out), "a long, b long"), "copies-near")
+        decided = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles")
+        return materialise(decided.mapInArrow(lean(decide), "src long, dst long"), "copies-links")
+
+    links = confirmed(pairs)
+    first = materialise(connected_components(links).select("node", F.col("component").alias("part")), "copies-first")
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = common.value, set()
+        for b in batches:
+            got = []
+            for text in b.column(0).to_pylist():
+                parts = split(text)
+                e1, e2 = class_of(parts)
+                if parts and e1 ^ e2 not in seen:
+                    seen.add(e1 ^ e2)
+                    h = shingle_set(parts, words)
+                    got.append((e1 ^ e2, len(h), prefix(h, counts, least).view(np.int64)))
+            if not got:
+                continue
+            nodes, sizes, keys = zip(*got)
+            n = np.array([len(k) for k in keys])
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+            cols = [np.concatenate(keys), np.repeat(np.array(nodes, dtype=np.int64), n), np.repeat(np.array(sizes, dtype=np.int32), n), place]
+            for at in range(0, len(place), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000]) for c in cols], ["key", "node", "size", "place"])
+
+    rows_of = source.where("text is not null").select("text").mapInArrow(lean(rare), "key long, node long, size int, place int")
+    rows_of = rows_of.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "node", "left").select("key", F.coalesce("part", "node").alias("part"), "node", "size", "place")
+    apart = rows_of.repartition("key").sortWithinPartitions("key").mapInArrow(lean(lambda it: cross_pairs(it, least)), "a long, b long")
+    links = links.union(confirmed(materialise(apart.distinct(), "copies-apart")))
     parts = connected_components(links).select("node", F.col("component").alias("part"))
-    labelled = materialise(classes.join(parts, "node", "left").select("e1", "e2", "first", F.coalesce("part", "node").alias("part")), "copies-parts")
-    least_id = materialise(labelled.groupBy("part").agg(F.min("first").alias("stay")), "copies-stay")
-    labelled = materialise(labelled.join(least_id, "part").select("e1", "e2", "part", "stay", "first"), "copies-labels")
-    # the row that stays: the first of its class, in the class that is first in its group
-    stays = F.col("doc_id").eqNullSafe(F.col("stay")) & F.col("first").eqNullSafe(F.col("stay"))
+    labelled = materialise(classes.join(parts, "node", "left").select("e1", "e2", "first", "t", F.coalesce("part", "node").alias("part")), "copies-parts")
+    least_id = materialise(labelled.groupBy("part").agg(F.min("first").alias("stay"), F.min("t").alias("stay_t")), "copies-stay")
+    labelled = materialise(labelled.join(least_id, "part").select("e1", "e2", "part", "stay", "stay_t", "first"), "copies-labels")
+    # the row that stays: the first of its class, in the class that is first in its group; without any id, by text
+    stays = F.col("doc_id").eqNullSafe(F.col("stay")) & F.col("first").eqNullSafe(F.col("stay")) & (F.col("stay").isNotNull() | (F.col("t") == F.col("stay_t")))
     return rows.join(labelled, ["e1", "e2"]).select("doc_id", "t", "part", stays.alias("stays"))
