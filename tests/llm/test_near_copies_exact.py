@@ -53,3 +53,15 @@ def test_dense_cluster_is_one_part(spark):
     got = parts(spark, texts)
     assert same([r.part for r in got], want)
     assert sum(r.stays for r in got) == len(set(want))
+
+
+def test_appended_and_truncated_copies(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(150):
+        w = zipf(rng, rng.randrange(150, 1000))
+        more = zipf(rng, int(len(w) * rng.uniform(0.02, 0.3)))
+        texts += [" ".join(w), " ".join(w + more if i % 3 == 0 else more + w if i % 3 == 1 else w[: len(w) - len(more)])]
+    close = sum(jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 300, 2))
+    assert 80 < close < 140
+    assert same([r.part for r in parts(spark, texts)], brute(texts))
