@@ -65,3 +65,15 @@ def test_appended_and_truncated_copies(spark):
     close = sum(jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 300, 2))
     assert 80 < close < 140
     assert same([r.part for r in parts(spark, texts)], brute(texts))
+
+
+def test_repeated_passage(spark):
+    # sets, not counts of shingles, decide
+    rng = random.Random(5)
+    texts = []
+    for r in (1, 4, 5, 20):
+        body, passage = rng.sample(WORDS, 104), rng.sample(WORDS, 54)
+        texts += [" ".join(body + passage), " ".join(body + passage * r + [str(r)])]
+    want = brute(texts)
+    assert len(set(want)) == 4
+    assert same([r.part for r in parts(spark, texts)], want)
