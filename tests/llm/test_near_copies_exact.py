@@ -77,3 +77,13 @@ def test_repeated_passage(spark):
     want = brute(texts)
     assert len(set(want)) == 4
     assert same([r.part for r in parts(spark, texts)], want)
+
+
+def test_rows_without_id(spark):
+    rng = random.Random(6)
+    w = rng.sample(WORDS, 200)
+    other = rng.sample(WORDS, 200)
+    texts = [(None, " ".join(w)), (None, " ".join([*w, "end"])), (None, " ".join(other)), (7, " ".join(["start", *other]))]
+    rows = near_copies.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len({r.part for r in rows}) == 2
+    assert sum(r.stays for r in rows) == 2 and [r.stays for r in rows if r.doc_id == 7] == [True]
