@@ -27,6 +27,8 @@ END_ID = 2
 #: Pieces in a partition, about; below FEW in all, one partition takes them.
 PART_ROWS = 50_000
 FEW = 2000
+#: Partitions of a first round, if pieces are fewer than fill more, and bins that each should then fill.
+LEAST_PARTS, PART_BINS = 16, 64
 #: Bins that a partition may give back for the exchange.
 GIVEN_BINS = 3
 #: The split pattern of byte-level BPE vocabularies of this kind (a fixed value).
@@ -166,18 +168,17 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -
     full = cut.where(F.col("length") >= capacity).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("part_bins"), F.lit(1).cast("long").alias("part_bound")
     )
-    done, rest, n, tag = [full], cut.where(F.col("length") < capacity), None, 0
-    n = rest.count()
+    done, rest, tag = [full], cut.where(F.col("length") < capacity), 0
+    size = lambda: rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    most, (n, tokens) = LEAST_PARTS, size()
     while n:
-        parts = 1 if n <= FEW else max(16, -(-n // part_rows))
+        # parts of full size always settle bins; smaller ones may give all back, so they get fewer each round
+        parts = 1 if n <= FEW else max(1, -(-n // part_rows), min(most, tokens // (PART_BINS * capacity)))
         part = F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(tag)), F.lit(parts)).cast("int").alias("part")
         packed = materialise(rest.select("doc_id", "piece", "start", "length", "ids_crc32", part).groupBy("part").applyInPandas(_kernel(capacity, tag, parts == 1), schema), f"pack-{tag}")
         done.append(packed.where("not given").drop("part", "given"))
         rest = packed.where("given").select("doc_id", "piece", "start", "length", "ids_crc32")
-        left = rest.count()
-        if left >= n:  # nothing settled: tiny inputs only
-            raise RuntimeError("packing made no progress")
-        n, tag = left, tag + 1
+        (n, tokens), most, tag = size(), max(1, parts // 2), tag + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
