@@ -29,8 +29,6 @@ PART_ROWS = 50_000
 FEW = 2000
 #: Partitions of a first round, if pieces are fewer than fill more, and bins that each should then fill.
 LEAST_PARTS, PART_BINS = 16, 64
-#: Bins that a partition may give back for the exchange.
-GIVEN_BINS = 3
 #: The split pattern of byte-level BPE vocabularies of this kind (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these letters two pattern engines may hold different Unicode versions.
@@ -142,7 +140,7 @@ def _pack_part(rows: pd.DataFrame, capacity: int, tag: int, last: bool) -> pd.Da
     if not last:
         # a certified partition gives its emptiest bin, which others may complete; one above its
         # bound also gives what it has too much
-        n = min(1 + len(fill) - least, GIVEN_BINS)
+        n = 1 + len(fill) - least
         emptiest = np.argsort(fill, kind="stable")[:n]
         given[emptiest[fill[emptiest] < capacity]] = True
     rows["sequence_id"] = (tag << 44) + (int(rows["part"].iloc[0]) << 22) + which if len(rows) else which

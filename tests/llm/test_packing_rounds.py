@@ -27,3 +27,13 @@ def test_many_one_token_pieces(spark):
     assert low <= n <= low + 1
     n, low = pack(spark, [1] * 120_000)  # more than a partition holds
     assert n == low
+
+
+def test_partition_gives_all_that_it_has_too_much():
+    lengths = np.random.default_rng(2).integers(205, 512, 4000)
+    rows = packing.pd.DataFrame({"doc_id": range(4000), "piece": 0, "start": 0, "length": lengths, "ids_crc32": 0, "part": 0})
+    out = packing._pack_part(rows, 1024, 0, False)
+    over = int(out["part_bins"][0] - out["part_bound"][0])
+    fill = out.groupby("sequence_id")["length"].sum()
+    assert over > 3
+    assert out.loc[out["given"], "sequence_id"].nunique() == min(over + 1, int((fill < 1024).sum()))
