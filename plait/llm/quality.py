@@ -6,9 +6,12 @@ different characters stand on the left; contexts sum their types' counts and num
 once, twice and more often; counts of counts give three discounts for each language and order. Joins
 of these sharded tables give each type its discounted share and each context its back-off weight.
 
-A document's perplexity is the interpolation down the orders at each of its characters. Thresholds are
-quantiles, per language, over all trusted documents, of the perplexity shrunk towards the language's
-mean, so that a short text needs more evidence. No document is cut, and no count is pruned.
+A document's perplexity is the interpolation down the orders at each of its characters. Trusted documents
+are dealt to folds by their text, and each is scored by a model without its fold's counts, since a text
+that a model has seen scores far lower than one that it has not. Thresholds are quantiles, per language,
+over all trusted documents, of this perplexity shrunk towards the language's mean, so that a short text
+needs more evidence; they are wider where a language has few trusted documents, and a language with too
+few has none. No document is cut, and no count is pruned.
 """
 
 from __future__ import annotations
@@ -28,6 +31,11 @@ ORDER = 4
 #: The quantile of trusted documents' shrunk log-perplexity above which a document is rejected, and a
 #: margin on it in nats; the characters' worth of the language's mean that each document is given.
 QUANTILE, MARGIN, SHRINK = 0.995, 0.05, 100
+#: Folds of the trusted documents. Languages of fewer trusted documents than ENOUGH have a margin wider in
+#: proportion (the quantile is their maximum), and those of fewer than FEWEST no threshold.
+FOLDS, ENOUGH, FEWEST = 3, 200, 20
+#: Between a language and the fold that its model leaves out.
+SEP = "\x01"
 #: Up to this many entries (16 bytes each) a model is broadcast; beyond, it is joined.
 BROADCAST_ENTRIES = 4_000_000
 #: Up to this many trusted ids are broadcast to the documents; beyond, both are shuffled.
@@ -53,6 +61,21 @@ def _seed(lang: str, order: int) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(f"{order}:{lang}"))
 
 
+def _salt(fold: str) -> int:
+    """What the hashes of a model without a fold differ by from those of the whole model, signed."""
+    import xxhash
+
+    return int(np.array([xxhash.xxh64_intdigest(f"without {fold}")], dtype=np.uint64).view(np.int64)[0]) if fold else 0
+
+
+def _of(label: str, folds: int) -> tuple[str, int]:
+    """A label's language and salt; without folds it is the language."""
+    if not folds:
+        return label, 0
+    lang, _, fold = label.rpartition(SEP)
+    return lang, _salt(fold)
+
+
 def chains(text: str, lang: str, order: int = ORDER) -> np.ndarray:
     """(characters + 1, 2 * order) hashes: for each position, the gram and its context of each order
     from the highest to 1. Grams are hashed right to left, so a gram of order k and the context of the
@@ -85,8 +108,9 @@ def _named(order: int) -> list[str]:
     return [x for k in range(order, 0, -1) for x in (f"g{k}", f"c{k}")]
 
 
-def count_types(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, g4, c4, …, g1, c1, n): the types of the highest order with their chains and counts."""
+def count_types(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", folds: int = 0) -> DataFrame:
+    """(lang, g4, c4, …, g1, c1, n): the types of the highest order with their chains and counts. With
+    folds, ``lang`` is a language, SEP and a fold."""
     ship(docs.sparkSession)
     names = _named(order)
 
@@ -115,7 +139,7 @@ def count_types(docs: DataFrame, order: int = ORDER, text: str = "text", lang: s
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t or g is None:
                     continue
-                for part in _positions(t, g, order):
+                for part in _positions(t, _of(g, folds)[0], order):
                     held[g].append(part)
                     size[g] += len(part)
                     if size[g] > CHUNK:
@@ -133,11 +157,23 @@ def count_types(docs: DataFrame, order: int = ORDER, text: str = "text", lang: s
     return rows.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
-def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
+def _without_folds(types: DataFrame, order: int, folds: int) -> DataFrame:
+    """Counts by language and fold → counts of each language, and of each without one of its folds."""
+    names = _named(order)
+    split = types.withColumn("fold", F.substring_index("lang", SEP, -1).cast("int")).withColumn("lang", F.expr("left(lang, length(lang) - 1)"))
+    split = split.withColumn("model", F.explode(F.array(*(F.lit(k) for k in range(-1, folds))))).where("model != fold")
+    salt = F.element_at(F.array(*(F.lit(_salt(str(k) if k >= 0 else "")) for k in range(-1, folds))), F.col("model") + 2)
+    label = F.concat("lang", F.when(F.col("model") >= 0, F.col("model").cast("string")).otherwise("")).alias("lang")
+    return split.select(label, *(F.col(c).bitwiseXOR(salt).alias(c) for c in names), "n").groupBy("lang", *names).agg(F.sum("n").alias("n"))
+
+
+def train(trusted: DataFrame, order: int = ORDER, folds: int = 0) -> DataFrame:
     """(hash, value) entries of the model over (text, lang): a gram's discounted share of its context,
     and a context's back-off weight; and for each language one entry for the uniform share, under
-    :func:`uniform_key`."""
-    types = materialise(count_types(trusted, order), "types")
+    :func:`uniform_key`. With folds, also the models that leave one out, under hashes that differ by
+    the fold's salt."""
+    types = materialise(count_types(trusted, order, folds=folds), "types")
+    types = materialise(_without_folds(types, order, folds), "types-folds") if folds else types
     level, entries = types, None
     for k in range(order, 0, -1):
         level = materialise(level, f"order-{k}") if k < order else types
@@ -186,7 +222,7 @@ def interpolate(shares: list, weights: list, uniform: np.ndarray) -> np.ndarray:
     return p
 
 
-def nats_broadcast(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
+def nats_broadcast(docs: DataFrame, model: Model, with_text: bool = True, lang: str = "lang", folds: int = 0) -> DataFrame:
     """``docs`` (id, text, lang, …) with ``nats`` and ``n``: minus the log-probability and the number of
     characters, the end included. Texts of unknown languages have null; empty ones zero."""
     spark = docs.sparkSession
@@ -197,20 +233,22 @@ def nats_broadcast(docs: DataFrame, model: Model, with_text: bool = True) -> Dat
     back = [c for c in names if with_text or c != "text"]
     schema = StructType([*(docs.schema[c] for c in back), StructField("nats", DoubleType()), StructField("n", LongType())])
 
+    by = lang
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.__new__(Model)
         m.hashes, m.values, m.uniform, m.order = sent.value
 
-        def scores(parts: list[np.ndarray], owner: np.ndarray, uniform: float, count: int) -> np.ndarray:
+        def scores(parts: list[np.ndarray], owner: np.ndarray, uniform: float, count: int, salt: int) -> np.ndarray:
             rows = np.concatenate(parts)
             _, first, inverse = np.unique(rows[:, 0], return_index=True, return_inverse=True)
-            rows = rows[first].view(np.int64)
+            rows = rows[first].view(np.int64) ^ np.int64(salt)
             found = [m.lookup(np.ascontiguousarray(rows[:, i])) for i in range(rows.shape[1])]
             p = interpolate(found[0::2], found[1::2], np.full(len(rows), uniform))
             return np.bincount(owner, weights=-np.log(p)[inverse], minlength=count)
 
         for b in batches:
-            texts, langs = b.column(names.index("text")).to_pylist(), b.column(names.index("lang")).to_pylist()
+            texts, langs = b.column(names.index("text")).to_pylist(), b.column(names.index(by)).to_pylist()
             nats, n = np.zeros(b.num_rows), np.zeros(b.num_rows, dtype=np.int64)
             held: dict[str, list] = defaultdict(list)
             size: dict[str, int] = defaultdict(int)
@@ -218,13 +256,13 @@ def nats_broadcast(docs: DataFrame, model: Model, with_text: bool = True) -> Dat
             def flush(lang: str) -> None:
                 parts = held.pop(lang)
                 owner = np.repeat([i for i, _ in parts], [len(x) for _, x in parts])
-                nats[:] += scores([x for _, x in parts], owner, m.uniform[lang], len(nats))
+                nats[:] += scores([x for _, x in parts], owner, m.uniform[lang], len(nats), _of(lang, folds)[1])
                 size[lang] = 0
 
             for i, (t, lang) in enumerate(zip(texts, langs)):
                 if not t or lang not in m.uniform:
                     continue
-                for part in _positions(t, lang, m.order):
+                for part in _positions(t, _of(lang, folds)[0], m.order):
                     held[lang].append((i, part))
                     size[lang] += len(part)
                     n[i] += len(part)
@@ -238,10 +276,11 @@ def nats_broadcast(docs: DataFrame, model: Model, with_text: bool = True) -> Dat
     return docs.mapInArrow(lean(run), schema)
 
 
-def nats_joined(docs: DataFrame, entries: DataFrame, order: int = ORDER, shards: int = 64) -> DataFrame:
+def nats_joined(docs: DataFrame, entries: DataFrame, order: int = ORDER, shards: int = 64, lang: str = "lang", folds: int = 0) -> DataFrame:
     """The same for models too large to broadcast: each document's distinct grams meet the sharded
     entries in one join for all orders, and come back to their document."""
     ship(docs.sparkSession)
+    by = lang
     wide = docs.select("*", F.monotonically_increasing_id().alias("row"))
     wide = materialise(wide, "rows")
 
@@ -250,16 +289,17 @@ def nats_joined(docs: DataFrame, entries: DataFrame, order: int = ORDER, shards:
             for row, t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if not t or lang is None:
                     continue
-                for at, part in enumerate(_positions(t, lang, order)):
+                plain, salt = _of(lang, folds)
+                for at, part in enumerate(_positions(t, plain, order)):
                     _, first, n = np.unique(part[:, 0], return_index=True, return_counts=True)
-                    h = part[first].view(np.int64)
+                    h = part[first].view(np.int64) ^ np.int64(salt)
                     k = len(n)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(k, row)), pa.array(np.full(k, at)), pa.array(n.astype(np.int64)), pa.array([lang] * k, pa.string()), pa.array([x.tolist() for x in h], pa.list_(pa.int64()))],
                         ["row", "part", "n", "lang", "hashes"],
                     )
 
-    found = wide.select("row", "text", "lang").mapInArrow(lean(grams), "row long, part long, n long, lang string, hashes array<long>")
+    found = wide.select("row", "text", F.col(by).alias("lang")).mapInArrow(lean(grams), "row long, part long, n long, lang string, hashes array<long>")
     slots = found.select("row", "part", "n", "lang", F.col("hashes")[0].alias("gram"), F.posexplode("hashes").alias("slot", "hash"))
     # a common gram is a hot key: it is dealt over shards, and each shard has a copy of the entries
     slots = slots.withColumn("shard", F.pmod(F.col("row"), F.lit(shards)))
@@ -274,8 +314,8 @@ def nats_joined(docs: DataFrame, entries: DataFrame, order: int = ORDER, shards:
         share, weight = F.col(f"v{2 * k}"), F.col(f"v{2 * k + 1}")
         p = F.when(weight.isNull(), p).otherwise(F.coalesce(share, F.lit(0.0)) + weight * p)
     sums = values.groupBy("row").agg(F.sum(-F.log(p) * F.col("n")).alias("nats"), F.sum("n").alias("n"))
-    known = values.select("lang").distinct().withColumn("known", F.lit(True))
-    out = wide.join(sums, "row", "left").join(known, "lang", "left")
+    known = values.select(F.col("lang").alias(by)).distinct().withColumn("known", F.lit(True))
+    out = wide.join(sums, "row", "left").join(known, by, "left")
     keep = F.col("known").isNotNull()
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(keep, F.coalesce("nats", F.lit(0.0))).alias("nats"), F.when(keep, F.coalesce("n", F.lit(0))).alias("n"))
 
@@ -285,39 +325,49 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("trusted"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES, with_text: bool = True) -> DataFrame:
-    """``docs`` with ``nats``, ``n`` and ``trusted`` added, and without the texts if told so."""
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES, with_text: bool = True, folds: int = 0) -> DataFrame:
+    """``docs`` with ``nats``, ``n`` and ``trusted`` added, and without the texts if told so. With folds, a
+    trusted document's are those of the model that leaves its fold out; null if that is no model."""
     ids = trusted_ids(labels)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
+    by = "_model" if folds else "lang"
+    names = [*docs.columns, "trusted"]
     marked = docs.join(ids, "doc_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    entries = train(marked.where("trusted and text is not null and lang is not null").select("text", "lang"), order)
+    good = marked.where("trusted and text is not null and lang is not null")
+    if folds:
+        fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("string")  # equal texts share a fold
+        good = good.withColumn("lang", F.concat("lang", F.lit(SEP), fold))
+        marked = marked.withColumn(by, F.concat("lang", F.lit(SEP), F.when(F.col("trusted") & F.col("text").isNotNull(), fold).otherwise("")))
+    entries = train(good.select("text", "lang"), order, folds)
+    back = lambda found: found.select(*[F.col(f"`{c}`") for c in names if with_text or c != "text"], "nats", "n")
     if entries.count() > broadcast_entries:
-        found = nats_joined(marked, entries, order)
-        return found if with_text else found.drop("text")
+        return back(nats_joined(marked, entries, order, lang=by, folds=folds))
     langs = [r.lang for r in marked.where("trusted and lang is not null and text != ''").select("lang").distinct().collect()]
+    langs = [f"{x}{SEP}{k}" for x in langs for k in ("", *range(folds))] if folds else langs
     keys = {r.lang: r.u for r in docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string").select("lang", F.xxhash64(F.lit("uniform"), "lang").alias("u")).collect()} if langs else {}
     got = entries.toArrow()  # broadcast_entries at most
     model = Model(got.column("hash").to_numpy(), got.column("value").to_numpy(), {}, order)
-    model.uniform = {lang: float(model.lookup(np.array([u]))[0]) for lang, u in keys.items()}
-    return nats_broadcast(marked, model, with_text)
+    found = {lang: float(model.lookup(np.array([u]))[0]) for lang, u in keys.items()}
+    model.uniform = {lang: u for lang, u in found.items() if not np.isnan(u)}
+    return back(nats_broadcast(marked, model, with_text, by, folds))
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK, with_text: bool = True) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK, with_text: bool = True, folds: int = FOLDS) -> DataFrame:
     """``docs`` (doc_id, text, lang and more) with ``nats``, ``n``, ``score``, ``threshold`` and ``keep``.
 
     ``score`` is the shrunk log-perplexity in nats a character, ``threshold`` that of the document's
-    language; ``keep`` is false above it. Documents of a null language or one without trusted text, and
-    null or empty texts, have nothing against them and are kept. Rows with a null id are scored but
+    language; ``keep`` is false above it. Trusted documents are scored by a model without their fold.
+    Documents of a null language or one with fewer than FEWEST trusted texts, and null or empty texts, have nothing against them and are kept. Rows with a null id are scored but
     never trusted; repeated rows stay repeated. Without trusted documents all are kept. Scores are
     written once, with the texts unless ``with_text`` is false.
     """
     names = [c for c in docs.columns if with_text or c != "text"]
-    scored = materialise(perplexities(docs, labels, order, with_text=with_text), "perplexity")
+    scored = materialise(perplexities(docs, labels, order, with_text=with_text, folds=folds), "perplexity")
     means = scored.where("trusted and n > 0").groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("mean"))  # a row per language
     score = (F.col("nats") + shrink * F.col("mean")) / (F.col("n") + shrink)
     smooth = scored.join(F.broadcast(means), "lang", "left").withColumn("score", score)
-    limits = smooth.where("trusted and n > 0").groupBy("lang").agg((F.percentile_approx("score", quantile, 10_000) + margin).alias("threshold"))
+    limits = smooth.where("trusted and n > 0").groupBy("lang").agg((F.percentile_approx("score", quantile, 10_000) + margin * F.greatest(F.lit(1.0), ENOUGH / F.count("*"))).alias("threshold"), F.count("*").alias("texts")).where(F.col("texts") >= FEWEST)
     limits = limits.select(F.col("lang").alias("of"), "threshold")
     found = smooth.join(F.broadcast(limits), F.col("lang") == F.col("of"), "left")
     return found.select(*[F.col(f"`{c}`") for c in names], "nats", "n", "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("keep"))
