@@ -11,7 +11,9 @@ of the skeleton, and are nested there.
 
 On a page, text nodes that belong to the template are template text, and what remains fills its slots.
 Slots of menus, headers, footers, sidebars, notices, adverts, forms and comments, known by their tags
-and names, are no main text; of the others, those inside an article are taken if there is one.
+and names, are no main text; of the others, those inside an article are taken if there is one. There,
+template text is only left out while it is the lesser part: pages that share most of their article are
+copies of it. Headings in an article stay. Exact copies of a page are one page as evidence.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from plait.runtime import lean, materialise, ship
 #: A host's template is deduced from this many pages at least. Optional classes have this many tokens,
 #: stand on this share of the pages, and are deduced from this many pages.
 LEAST_PAGES, CLASS_TOKENS, OPTIONAL, OPTIONAL_PAGES = 4, 3, 0.9, 10
+#: The share of an article's text nodes that may be template text; beyond, it is what copies share.
+WITHIN = 1 / 3
 #: Templates are broadcast up to this many tokens, and joined beyond.
 BROADCAST_TOKENS = 2_000_000
 SALTS = 64
@@ -82,8 +86,8 @@ class Page:
     """Tokens of a page in order, and its text nodes."""
 
     tokens: list[int] = field(default_factory=list)
-    #: (token index, block number, text, beside the main text, inside an article, in a link)
-    nodes: list[tuple[int, int, str, bool, int, bool]] = field(default_factory=list)
+    #: (token index, block number, text, beside the main text, inside an article, in a link, in a heading)
+    nodes: list[tuple[int, int, str, bool, int, bool, bool]] = field(default_factory=list)
 
 
 def read(source: str) -> Page:
@@ -104,9 +108,9 @@ def read(source: str) -> Page:
             s = html.unescape(text) if "&" in text else text
             if not s.isspace() and s:
                 page.tokens.append(mix(path, " ".join(s.split())))
-                page.nodes.append((len(page.tokens) - 1, block, s, beside, main, link))
+                page.nodes.append((len(page.tokens) - 1, block, s, beside, main, link, any(x[0] in HEADINGS for x in stack[-4:])))
             elif s:
-                page.nodes.append((-1, block, s, beside, main, link))
+                page.nodes.append((-1, block, s, beside, main, link, any(x[0] in HEADINGS for x in stack[-4:])))
             continue
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -124,7 +128,7 @@ def read(source: str) -> Page:
         if name in VOID:
             page.tokens.append(mix(path, name))
             if name == "br":
-                page.nodes.append((-1, block, " ", beside, main, link))
+                page.nodes.append((-1, block, " ", beside, main, link, False))
             continue
         if name in CLOSES:
             for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
@@ -184,8 +188,9 @@ def text_of(page: Page, template: Template = Template()) -> str:
     nodes = [n for n in nodes if n[4] == rank]
     known = template.on(page)
     if known:
-        left = [n for n in nodes if n[0] < 0 or page.tokens[n[0]] not in known]
-        if any(n[0] >= 0 for n in left):
+        left = [n for n in nodes if n[0] < 0 or page.tokens[n[0]] not in known or rank and n[6]]
+        texts, kept = (sum(n[0] >= 0 and not (rank and n[6]) for n in x) for x in (nodes, left))
+        if any(n[0] >= 0 for n in left) and (not rank or texts - kept <= WITHIN * texts):
             nodes = left
     out: list[str] = []
     at, held, linked = None, [], 0
@@ -196,7 +201,7 @@ def text_of(page: Page, template: Template = Template()) -> str:
         if s and (rank or 2 * linked <= len(s)):
             out.append(s)
 
-    for _, block, s, _, _, link in nodes:
+    for _, block, s, _, _, link, _ in nodes:
         if block != at:
             flush()
             at, held, linked = block, [], 0
@@ -217,17 +222,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, skeleton, tokens): one row per class of each host's template. Hosts of fewer than
-    ``LEAST_PAGES`` pages have none. ``pages`` has host and html."""
+    ``LEAST_PAGES`` different pages have none. ``pages`` has host and html."""
     ship(pages.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[tuple[str, int], list[int]] = {}
-            hosts: Counter[str] = Counter()
+            hosts: Counter[tuple[str, int]] = Counter()
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 source = source or ""
-                hosts[host] += 1
                 page = xxhash.xxh64_intdigest(source)
+                hosts[host, page] += 1
                 tokens = read(source).tokens
                 counts = Counter(tokens)
                 for token, n in counts.items():
@@ -237,14 +242,14 @@ def templates(pages: DataFrame) -> DataFrame:
                     row[0] += 1
                     row[1] += n
                     row[2] = (row[2] + (page ^ n) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-            names = [h for h, _ in seen] + list(hosts)
+            names = [h for h, _ in seen] + [h for h, _ in hosts]
             tokens = np.fromiter((t for _, t in seen), dtype=np.uint64, count=len(seen))
             rows = np.array(list(seen.values()), dtype=np.uint64).reshape(-1, 3)
             pad = len(hosts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names, pa.string()),
-                    pa.array(np.concatenate((_signed(tokens), np.zeros(pad, dtype=np.int64)))),
+                    pa.array(np.concatenate((_signed(tokens), _signed(np.fromiter((p for _, p in hosts), dtype=np.uint64, count=pad))))),
                     pa.array(np.concatenate((_signed(rows[:, 0]), np.fromiter(hosts.values(), dtype=np.int64, count=pad)))),
                     pa.array(np.concatenate((_signed(rows[:, 1]), np.full(pad, -1, dtype=np.int64)))),
                     pa.array(np.concatenate((_signed(rows[:, 2]), np.zeros(pad, dtype=np.int64)))),
@@ -252,19 +257,19 @@ def templates(pages: DataFrame) -> DataFrame:
                 ["host", "token", "pages", "times", "vector"],
             )
 
-    # times is negative in the rows that count a host's pages; sums of vectors wrap, as 64 bits do
+    # times is negative in the rows that count a host's pages, by their hash; sums of vectors wrap, as 64 bits do
     rows = pages.select("host", "html").mapInArrow(lean(gather), "host string, token long, pages long, times long, vector long")
     split = rows.select("host", "token", "pages", "times", (F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.shiftrightunsigned("vector", 32).alias("high"))
     size = F.col("times") < 0
     found = split.groupBy("host", size.alias("size"), "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "low", "high")))
     found = materialise(found, "tokens")
-    hosts = found.where("size").select("host", F.col("pages").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    hosts = found.where("size").groupBy("host").agg(F.sum("pages").alias("n"), F.count("*").alias("distinct")).where(F.col("distinct") >= LEAST_PAGES)
     vector = (F.col("low") + F.shiftleft(F.col("high") + F.shiftright("low", 32), 32)).alias("vector")
     # once on each page that has it, and on enough pages: a page's length over OPTIONAL bounds a host's rows
     once = found.where("not size and pages = times").join(F.broadcast(hosts) if hosts.count() <= BROADCAST_TOKENS else hosts, "host").where(F.col("pages") >= OPTIONAL * F.col("n"))
-    classes = once.select("host", "token", "pages", "n", vector).groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.max("pages").alias("pages"), F.max("n").alias("n"))
+    classes = once.select("host", "token", "pages", "n", "distinct", vector).groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.max("pages").alias("pages"), F.max("n").alias("n"), F.max("distinct").alias("distinct"))
     whole = F.col("pages") == F.col("n")
-    return classes.where(whole | ((F.size("tokens") >= CLASS_TOKENS) & (F.col("n") >= OPTIONAL_PAGES))).select("host", whole.alias("skeleton"), "tokens")
+    return classes.where(whole | ((F.size("tokens") >= CLASS_TOKENS) & (F.col("distinct") >= OPTIONAL_PAGES))).select("host", whole.alias("skeleton"), "tokens")
 
 
 def _template(rows: list) -> Template:
