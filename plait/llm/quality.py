@@ -1,26 +1,31 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
 The model is trained on all trusted documents, a model per language. Counts of the highest order are
-gathered by task, combined and shuffled by hash; lower orders count, from these types, how many
-different characters stand on the left; contexts sum their types' counts and numbers of types seen
-once, twice and more often; counts of counts give three discounts for each language and order. Joins
-of these sharded tables give each type its discounted share and each context its back-off weight.
-
-A document's perplexity is the interpolation down the orders at each of its characters. Trusted documents
-are dealt to folds by their text, and each is scored by a model without its fold's counts, since a text
-that a model has seen scores far lower than one that it has not. Thresholds are quantiles, per language,
-over all trusted documents, of this perplexity shrunk towards the language's mean, so that a short text
-needs more evidence; they are wider where a language has few trusted documents, and a language with too
-few has none. No document is cut, and no count is pruned.
+gathered by task, combined and shuffled by gram; lower orders count, from these types, how many
+different characters stand on the left; contexts sum their types' counts and discounts; counts of counts
+give three discounts for each language and order. Joins of these sharded tables resolve every gram that
+was seen to its interpolated probability, order by order, and give each context its back-off weight.
+
+A document's perplexity takes, at each of its characters, the longest gram that was seen, and the
+weights of the longer contexts before it. Trusted documents are dealt to folds by their text, and each
+is scored by a model without its fold's counts, since a text that a model has seen scores far lower than
+one that it has not. Thresholds are quantiles, per language, over all trusted documents, of this
+perplexity shrunk towards the language's mean, so that a short text needs more evidence; they are wider
+where a language has few trusted documents, and a language with too few has none. No document is cut,
+and no count is pruned.
+
+A model of up to ``BROADCAST_ENTRIES`` entries is sent to the tasks as sorted arrays. A larger one stays
+sharded: documents are dealt to shards of bounded size, a shard's distinct grams meet the model in joins,
+one row a gram, and come back to the shard's documents.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -36,288 +41,347 @@ QUANTILE, MARGIN, SHRINK = 0.995, 0.05, 100
 FOLDS, ENOUGH, FEWEST = 3, 200, 20
 #: Between a language and the fold that its model leaves out.
 SEP = "\x01"
-#: Up to this many entries (16 bytes each) a model is broadcast; beyond, it is joined.
+#: Up to this many entries (20 bytes each) a model is broadcast; beyond, it is joined.
 BROADCAST_ENTRIES = 4_000_000
-#: Up to this many trusted ids are broadcast to the documents; beyond, both are shuffled.
-BROADCAST_IDS = 2_000_000
-
-#: Positions and types that a task holds for a language at a time.
-CHUNK, TYPES = 250_000, 400_000
+#: Up to this many trusted ids, and languages, are broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS, BROADCAST_LANGS = 2_000_000, 100_000
+#: Positions that a task takes at a time, types that it holds, and characters of a shard of a large model's documents.
+CHUNK, TYPES, SHARD_CHARS = 100_000, 200_000, 64_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
-BOUNDARY = 0x110000
+#: Stands before and after a text; no character of text is assigned there.
+BOUNDARY = chr(0x10FFFF)
+#: Kinds of entries: a gram's surprisal, a context's weight, a language's uniform share.
+GRAM, WEIGHT, UNIFORM = 0, 1, 2
 
 
 def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Hash of a gram from that of its shorter part and one more character."""
+    """Hash of a gram from that of its shorter end and one more character on the left."""
     h = (h + (c + np.uint64(1)) * _K) * _M
-    return h ^ (h >> np.uint64(29))
-
+    h ^= h >> np.uint64(29)
+    return h
 
-def _seed(lang: str, order: int) -> np.uint64:
-    import xxhash
 
-    return np.uint64(xxhash.xxh64_intdigest(f"{order}:{lang}"))
+def _seed(label: str, kind: int) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(f"{kind}:{label}"))
 
 
-def _salt(fold: str) -> int:
-    """What the hashes of a model without a fold differ by from those of the whole model, signed."""
-    import xxhash
+def _start(label: str, kind: int, n: int) -> np.ndarray:
+    return np.full(n, _seed(label, kind), dtype=np.uint64)
 
-    return int(np.array([xxhash.xxh64_intdigest(f"without {fold}")], dtype=np.uint64).view(np.int64)[0]) if fold else 0
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
-def _of(label: str, folds: int) -> tuple[str, int]:
-    """A label's language and salt; without folds it is the language."""
-    if not folds:
-        return label, 0
-    lang, _, fold = label.rpartition(SEP)
-    return lang, _salt(fold)
 
+def spans(rows: Iterator[tuple[int, str]], order: int, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, positions, row of each position) of texts, a bounded part at a time. Every character
+    and the end of a text is a position, with ``order - 1`` points before it."""
+    held: list[str] = []
+    own: list[tuple[int, int]] = []
+    size, lead = 0, order - 1
 
-def chains(text: str, lang: str, order: int = ORDER) -> np.ndarray:
-    """(characters + 1, 2 * order) hashes: for each position, the gram and its context of each order
-    from the highest to 1. Grams are hashed right to left, so a gram of order k and the context of the
-    gram of order k + 1 are told apart by their seeds and start."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    padded = np.concatenate((np.full(order - 1, BOUNDARY, dtype=np.uint64), points, [np.uint64(BOUNDARY)]))
-    n = len(points) + 1
-    out = np.empty((n, 2 * order), dtype=np.uint64)
-    last = padded[order - 1 :]
-    with np.errstate(over="ignore"):
-        context = np.full(n, _seed(lang, 0), dtype=np.uint64)
-        for k in range(1, order + 1):
-            if k > 1:
-                context = _mix(context, padded[order - k : order - k + n])
-            col = 2 * (order - k)
-            out[:, col + 1] = context + np.uint64(k)
-            out[:, col] = _mix(context + np.uint64(k), last + np.uint64(1 << 32))
-    return out
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([k for _, k in own], dtype=np.int64)
+        at = np.arange(n.sum()) + lead * np.repeat(np.arange(1, len(n) + 1), n)
+        return _points("".join(held)), at, np.repeat(np.array([i for i, _ in own], dtype=np.int64), n)
 
+    for i, text in rows:
+        text += BOUNDARY
+        for at in range(0, len(text), chunk):
+            part = text[at : at + chunk]
+            held += [(BOUNDARY * lead + text[max(0, at - lead) : at])[-lead:] if lead else "", part]
+            own.append((i, len(part)))
+            size += len(part)
+            if size >= chunk:
+                yield out()
+                held, own, size = [], [], 0
+    if own:
+        yield out()
 
-def _positions(text: str, lang: str, order: int) -> Iterator[np.ndarray]:
-    """The chains of a text, a bounded part at a time."""
-    for at in range(0, len(text), CHUNK):
-        part = chains(text[max(0, at - order + 1) : at + CHUNK], lang, order)
-        end = len(part) if at + CHUNK >= len(text) else len(part) - 1
-        yield part[min(at, order - 1) : end]
 
-
-def _named(order: int) -> list[str]:
-    return [x for k in range(order, 0, -1) for x in (f"g{k}", f"c{k}")]
+def _of_order(points: np.ndarray, at: np.ndarray, label: str, order: int) -> np.ndarray:
+    """Hashes of the grams of ``order`` that end at the positions."""
+    h = _start(label, GRAM, len(at))
+    with np.errstate(over="ignore"):
+        for k in range(order):
+            h = _mix(h, points[at - k].astype(np.uint64))
+    return h
 
 
-def count_types(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", folds: int = 0) -> DataFrame:
-    """(lang, g4, c4, …, g1, c1, n): the types of the highest order with their chains and counts. With
-    folds, ``lang`` is a language, SEP and a fold."""
+def count_types(docs: DataFrame, order: int = ORDER, text: str = "text", label: str = "lang") -> DataFrame:
+    """(label, gram, n): the types of the highest order, as strings, with their counts."""
     ship(docs.sparkSession)
-    names = _named(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = defaultdict(list)
-        size: dict[str, int] = defaultdict(int)
-        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # types and their counts so far
-
-        def fold(lang: str) -> None:
-            rows = np.concatenate(held.pop(lang))
-            n = np.ones(len(rows), dtype=np.int64)
-            if lang in known:
-                rows, n = np.concatenate((known[lang][0], rows)), np.concatenate((known[lang][1], n))
-            _, first, inverse = np.unique(rows[:, 0], return_index=True, return_inverse=True)
-            known[lang] = rows[first], np.bincount(inverse, weights=n).astype(np.int64)
-            size[lang] = 0
-
-        def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            rows, n = known.pop(lang)
-            rows = rows.view(np.int64)
-            for at in range(0, len(n), 20_000):
-                r = rows[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(r), pa.string()), *(pa.array(np.ascontiguousarray(r[:, i])) for i in range(2 * order)), pa.array(n[at : at + 20_000])], ["lang", *names, "n"])
+        held: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, grams, n = (np.concatenate(x) for x in zip(*parts))
+            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            return h[first], grams[first], np.bincount(inverse, weights=n).astype(np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                _, grams, n = merged(parts)
+                for at in range(0, len(n), 20_000):
+                    g = grams[at : at + 20_000]
+                    s = g.tobytes().decode("utf-32-le", "surrogatepass")
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array([s[i : i + order] for i in range(0, len(s), order)], pa.string()), pa.array(n[at : at + 20_000])], ["label", "gram", "n"])
+            held.clear()
 
         for b in batches:
-            for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not t or g is None:
-                    continue
-                for part in _positions(t, _of(g, folds)[0], order):
-                    held[g].append(part)
-                    size[g] += len(part)
-                    if size[g] > CHUNK:
-                        fold(g)
-                        if len(known[g][1]) > TYPES:
-                            yield from flush(g)
-        for g in list(held):
-            if held[g]:
-                fold(g)
-        for g in list(known):
-            yield from flush(g)
-
-    schema = "lang string, " + ", ".join(f"{c} long" for c in names) + ", n long"
-    rows = docs.select(F.col(text), F.col(lang)).mapInArrow(lean(run), schema)
-    return rows.groupBy("lang", *names).agg(F.sum("n").alias("n"))
-
-
-def _without_folds(types: DataFrame, order: int, folds: int) -> DataFrame:
+            rows: dict[str, list[tuple[int, str]]] = {}
+            for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t and name is not None:
+                    rows.setdefault(name, []).append((0, t))
+            for name, own in rows.items():
+                for points, at, _ in spans(iter(own), order):
+                    h, first, n = np.unique(_of_order(points, at, name, order), return_index=True, return_counts=True)
+                    held.setdefault(name, []).append((h, points[at[first][:, None] + np.arange(1 - order, 1)], n))
+                    size += len(h)
+                    if size > 2 * TYPES:
+                        held.update({x: [merged(parts)] for x, parts in held.items()})
+                        size = sum(len(parts[0][0]) for parts in held.values())
+                        if size > TYPES:
+                            yield from flush()
+                            size = 0
+        yield from flush()
+
+    rows = docs.select(F.col(text), F.col(label)).mapInArrow(lean(run), "label string, gram string, n long")
+    return rows.groupBy("label", "gram").agg(F.sum("n").alias("n"))
+
+
+def _without_folds(types: DataFrame, folds: int) -> DataFrame:
     """Counts by language and fold → counts of each language, and of each without one of its folds."""
-    names = _named(order)
-    split = types.withColumn("fold", F.substring_index("lang", SEP, -1).cast("int")).withColumn("lang", F.expr("left(lang, length(lang) - 1)"))
-    split = split.withColumn("model", F.explode(F.array(*(F.lit(k) for k in range(-1, folds))))).where("model != fold")
-    salt = F.element_at(F.array(*(F.lit(_salt(str(k) if k >= 0 else "")) for k in range(-1, folds))), F.col("model") + 2)
-    label = F.concat("lang", F.when(F.col("model") >= 0, F.col("model").cast("string")).otherwise("")).alias("lang")
-    return split.select(label, *(F.col(c).bitwiseXOR(salt).alias(c) for c in names), "n").groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    split = types.select(F.expr("left(label, length(label) - 1 - length(substring_index(label, '\x01', -1)))").alias("lang"), F.substring_index("label", SEP, -1).cast("int").alias("fold"), "gram", "n")
+    own = lambda k: F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0))
+    whole = split.groupBy("lang", "gram").agg(F.sum("n").alias("n"), *(own(k).alias(f"n{k}") for k in range(folds)))
+    models = F.array(F.struct(F.lit("").alias("model"), F.col("n").alias("n")), *(F.struct(F.lit(str(k)).alias("model"), (F.col("n") - F.col(f"n{k}")).alias("n")) for k in range(folds)))
+    return whole.select("lang", "gram", F.explode(models).alias("x")).where("x.n > 0").select(F.concat("lang", F.lit(SEP), "x.model").alias("label"), "gram", "x.n")
+
+
+def few(df: DataFrame, key: str, rows: int = BROADCAST_LANGS):
+    """What marks tables of a row per ``key`` of ``df`` for broadcast, if these are few."""
+    return F.broadcast if df.select(key).distinct().count() <= rows else lambda x: x
 
 
 def train(trusted: DataFrame, order: int = ORDER, folds: int = 0) -> DataFrame:
-    """(hash, value) entries of the model over (text, lang): a gram's discounted share of its context,
-    and a context's back-off weight; and for each language one entry for the uniform share, under
-    :func:`uniform_key`. With folds, also the models that leave one out, under hashes that differ by
-    the fold's salt."""
-    types = materialise(count_types(trusted, order, folds=folds), "types")
-    types = materialise(_without_folds(types, order, folds), "types-folds") if folds else types
-    level, entries = types, None
-    for k in range(order, 0, -1):
-        level = materialise(level, f"order-{k}") if k < order else types
-        counts = level.groupBy("lang").agg(*(F.sum(F.when(F.col("n") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(1, 5)))
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        # too small a sample has no counts of counts: a constant discount serves
-        d = lambda i: F.greatest(F.lit(0.1), F.least(F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.when(F.col(f"n{i}") > 0, F.col(f"n{i}")), F.lit(0.5 * i)), F.lit(0.95 * i)))
-        discounts = counts.select("lang", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3"))  # a row per language and order
-        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = level.join(F.broadcast(discounts), "lang").select(F.col(f"g{k}").alias("g"), F.col(f"c{k}").alias("c"), "n", less.alias("less"))
-        contexts = materialise(rows.groupBy("c").agg(F.sum("n").alias("total"), F.sum("less").alias("mass")), f"contexts-{k}")
-        shares = rows.join(contexts, "c").select(F.col("g").alias("hash"), ((F.col("n") - F.col("less")) / F.col("total")).alias("value"))
-        both = shares.union(contexts.select(F.col("c").alias("hash"), (F.col("mass") / F.col("total")).alias("value")))
-        entries = both if entries is None else entries.union(both)
-        if k > 1:
-            kept = _named(k - 1)
-            level = level.groupBy("lang", *kept).agg(F.count("*").alias("n"))
-        else:
-            size = level.groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("value"))
-            entries = entries.union(size.select(F.xxhash64(F.lit("uniform"), "lang").alias("hash"), "value"))
+    """(label, gram, kind, value) entries of the model over (text, lang): the surprisal in nats of each
+    seen gram of each order, minus the logarithm of each context's back-off weight, and for each label
+    that of the uniform share. With folds, ``lang`` is a language, SEP and a fold, and the labels are
+    languages and SEP, with a fold that the model leaves out."""
+    types = materialise(count_types(trusted, order), "types")
+    types = materialise(_without_folds(types, folds), "types-folds") if folds else types
+    side = few(types, "label")
+    # types of all orders at once: those of an order are the ends of those of the next
+    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("gram", order + 1 - k, k).alias("gram")) for k in range(1, order + 1))))
+    held = types.select("label", "n", ends.alias("x")).groupBy("label", "x.k", "x.gram").agg(F.sum("n").alias("n"))
+    top = F.when(F.col("k") == order, F.struct(F.col("k").alias("k"), F.col("gram").alias("gram"), F.col("n").alias("n")))
+    below = F.when(F.col("k") > 1, F.struct((F.col("k") - 1).alias("k"), F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("n")))
+    level = held.select("label", F.explode(F.array(top, below)).alias("x")).where("x is not null").select("label", "x.*").groupBy("label", "k", "gram").agg(F.sum("n").alias("n"))
+    level = materialise(level.select("label", "k", "gram", F.left("gram", F.col("k") - 1).alias("context"), "n"), "orders")
+    counts = level.groupBy("label", "k").agg(F.count("*").alias("size"), *(F.sum(F.when(F.col("n") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(1, 5)))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    # too small a sample has no counts of counts: a constant discount serves
+    d = lambda i: F.greatest(F.lit(0.1), F.least(F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.when(F.col(f"n{i}") > 0, F.col(f"n{i}")), F.lit(0.5 * i)), F.lit(0.95 * i)))
+    discounts = side(counts.select("label", "k", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3")))
+    uniform = side(counts.where("k = 1").select("label", (1.0 / (F.col("size") + 1)).alias("p")))
+    less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rows = level.join(discounts, ["label", "k"]).select("label", "k", "gram", "context", "n", less.alias("less"))
+    contexts = materialise(rows.groupBy("label", "k", "context").agg(F.sum("n").alias("total"), F.sum("less").alias("mass")), "contexts")
+    weight = F.col("mass") / F.col("total")
+    rows = materialise(rows.join(contexts, ["label", "k", "context"]).select("label", "k", "gram", ((F.col("n") - F.col("less")) / F.col("total")).alias("share"), weight.alias("weight")), "shares")
+    entries = uniform.select("label", F.lit("").alias("gram"), F.lit(UNIFORM).alias("kind"), (-F.log("p")).alias("value"))
+    entries = entries.union(contexts.select("label", "context", F.lit(WEIGHT), -F.log(weight)))
+    lower = None
+    for k in range(1, order + 1):
+        own = rows.where(F.col("k") == k)
+        own = own.join(uniform, "label") if k == 1 else own.withColumn("end", F.substring("gram", 2, k)).join(lower, ["label", "end"])
+        seen = own.select("label", "gram", (F.col("share") + F.col("weight") * F.col("p")).alias("p"))
+        lower = seen.select("label", F.col("gram").alias("end"), "p")
+        entries = entries.union(seen.select("label", "gram", F.lit(GRAM), -F.log("p")))
     return materialise(entries, "model")
 
 
+def hashed(entries: DataFrame) -> DataFrame:
+    """(hash, value) of a model's entries."""
+    ship(entries.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups: dict[tuple, tuple[list[str], list[int]]] = {}
+            for i, (name, gram, kind) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+                grams, at = groups.setdefault((name, kind, len(gram)), ([], []))
+                grams.append(gram)
+                at.append(i)
+            out = np.zeros(b.num_rows, dtype=np.uint64)
+            for (name, kind, k), (grams, at) in groups.items():
+                points, h = _points("".join(grams)).reshape(-1, k) if k else None, _start(name, kind, len(at))
+                with np.errstate(over="ignore"):
+                    for j in range(k - 1, -1, -1):
+                        h = _mix(h, points[:, j].astype(np.uint64))
+                out[at] = h
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), b.column(3)], ["hash", "value"])
+
+    return entries.select("label", "gram", "kind", "value").mapInArrow(lean(run), "hash long, value double")
+
+
 class Model:
-    """A model in sorted arrays."""
+    """A model's entries in arrays sorted by hash, with the start of each run of leading bits."""
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray, uniform: dict[str, float], order: int) -> None:
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, order: int) -> None:
+        hashes = hashes.astype(np.int64, copy=False).view(np.uint64)
         by = np.argsort(hashes)
-        self.hashes, self.values, self.uniform, self.order = hashes[by], values[by].astype(np.float64), uniform, order
+        # one more at the end, which no run holds
+        self.hashes, self.values, self.order = np.append(hashes[by], np.uint64(0)), np.append(values[by], np.nan), order
+        self.shift = np.uint64(63 - max(1, int(len(by)).bit_length()))
+        runs = np.bincount((self.hashes[:-1] >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.start = np.concatenate(([0], np.cumsum(runs))).astype(np.int32)
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Values, NaN where there is none."""
-        if not len(self.hashes):
-            return np.full(len(h), np.nan)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.values[at], np.nan)
-
-
-def interpolate(shares: list, weights: list, uniform: np.ndarray) -> np.ndarray:
-    """Probability from the lowest order up: share + weight * lower; an unseen gram has no share, and
-    an unseen context hands on the lower order. Lists run from the highest order to the lowest."""
-    p = uniform
-    for share, weight in zip(reversed(shares), reversed(weights)):
-        w = np.where(np.isnan(weight), 1.0, weight)
-        p = np.where(np.isnan(weight), p, np.nan_to_num(share) + w * p)
-    return p
-
-
-def nats_broadcast(docs: DataFrame, model: Model, with_text: bool = True, lang: str = "lang", folds: int = 0) -> DataFrame:
-    """``docs`` (id, text, lang, …) with ``nats`` and ``n``: minus the log-probability and the number of
-    characters, the end included. Texts of unknown languages have null; empty ones zero."""
+        run = (h >> self.shift).astype(np.int64)
+        at, end = self.start[run], self.start[run + 1]
+        hit = (self.hashes[at] == h) & (at < end)
+        out = np.where(hit, self.values[at], np.nan)
+        todo = np.flatnonzero(~hit & (at + 1 < end))
+        at, end = at[todo], end[todo]
+        while len(todo):
+            at = at + 1
+            hit = self.hashes[at] == h[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            left = ~hit & (at + 1 < end)
+            todo, at, end = todo[left], at[left], end[left]
+        return out
+
+    def knows(self, label: str) -> bool:
+        return not np.isnan(self.lookup(_start(label, UNIFORM, 1))[0])
+
+    def surprisal(self, points: np.ndarray, at: np.ndarray, label: str) -> np.ndarray:
+        """Nats at each position: those of the longest gram that was seen, and the weights of the contexts
+        that were seen above it."""
+        out = self.lookup(_of_order(points, at, label, self.order))
+        todo = np.flatnonzero(np.isnan(out))
+        if not len(todo):
+            return out
+        at, n = at[todo], len(todo)
+        with np.errstate(over="ignore"):
+            grams, contexts = [_start(label, GRAM, n)], [_start(label, WEIGHT, n)]
+            for k in range(self.order - 1):
+                grams.append(_mix(grams[-1], points[at - k].astype(np.uint64)))
+                contexts.append(_mix(contexts[-1], points[at - 1 - k].astype(np.uint64)))
+        total, left = np.zeros(n), np.arange(n)
+        for k in range(self.order - 1, -1, -1):
+            total[left] += np.nan_to_num(self.lookup(contexts[k][left]))
+            found = self.lookup(grams[k][left] if k else _start(label, UNIFORM, len(left)))
+            seen = ~np.isnan(found)
+            total[left[seen]] += found[seen]
+            left = left[~seen]
+        out[todo] = total
+        return out
+
+
+def _nats(texts: list, labels: list, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nats, characters, whether the label has a model) of texts."""
+    nats, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+    rows: dict[str, list[tuple[int, str]]] = {}
+    for i, (t, label) in enumerate(zip(texts, labels)):
+        if label is not None:
+            rows.setdefault(label, []).append((i, t))
+    known = {label for label in rows if model.knows(label)}
+    for label in known:
+        for points, at, own in spans((x for x in rows[label] if x[1]), model.order):
+            nats += np.bincount(own, weights=model.surprisal(points, at, label), minlength=len(nats))
+            n += np.bincount(own, minlength=len(n))
+    return nats, n, np.array([label in known for label in labels], dtype=bool)
+
+
+def nats_broadcast(docs: DataFrame, model: Model, text: str = "text", label: str = "lang", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (text, label, …) without ``drop`` and with ``nats`` and ``n``: minus the log-probability
+    and the number of characters, the end included. Texts of labels without a model have null; empty ones zero."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast((model.hashes, model.values, model.uniform, model.order))
+    sent = spark.sparkContext.broadcast(model)  # BROADCAST_ENTRIES at most
     names = docs.columns
-    # a text that is not asked for does not come back from the workers
-    back = [c for c in names if with_text or c != "text"]
+    back = [c for c in names if c not in drop]
     schema = StructType([*(docs.schema[c] for c in back), StructField("nats", DoubleType()), StructField("n", LongType())])
 
-    by = lang
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.__new__(Model)
-        m.hashes, m.values, m.uniform, m.order = sent.value
-
-        def scores(parts: list[np.ndarray], owner: np.ndarray, uniform: float, count: int, salt: int) -> np.ndarray:
-            rows = np.concatenate(parts)
-            _, first, inverse = np.unique(rows[:, 0], return_index=True, return_inverse=True)
-            rows = rows[first].view(np.int64) ^ np.int64(salt)
-            found = [m.lookup(np.ascontiguousarray(rows[:, i])) for i in range(rows.shape[1])]
-            p = interpolate(found[0::2], found[1::2], np.full(len(rows), uniform))
-            return np.bincount(owner, weights=-np.log(p)[inverse], minlength=count)
-
         for b in batches:
-            texts, langs = b.column(names.index("text")).to_pylist(), b.column(names.index(by)).to_pylist()
-            nats, n = np.zeros(b.num_rows), np.zeros(b.num_rows, dtype=np.int64)
-            held: dict[str, list] = defaultdict(list)
-            size: dict[str, int] = defaultdict(int)
-
-            def flush(lang: str) -> None:
-                parts = held.pop(lang)
-                owner = np.repeat([i for i, _ in parts], [len(x) for _, x in parts])
-                nats[:] += scores([x for _, x in parts], owner, m.uniform[lang], len(nats), _of(lang, folds)[1])
-                size[lang] = 0
-
-            for i, (t, lang) in enumerate(zip(texts, langs)):
-                if not t or lang not in m.uniform:
-                    continue
-                for part in _positions(t, _of(lang, folds)[0], m.order):
-                    held[lang].append((i, part))
-                    size[lang] += len(part)
-                    n[i] += len(part)
-                    if size[lang] > CHUNK:
-                        flush(lang)
-            for lang in list(held):
-                flush(lang)
-            unknown = np.array([lang not in m.uniform for lang in langs], dtype=bool)
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in back), pa.array(nats, mask=unknown), pa.array(n, mask=unknown)], [*back, "nats", "n"])
+            nats, n, known = _nats(b.column(names.index(text)).to_pylist(), b.column(names.index(label)).to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in back), pa.array(nats, mask=~known), pa.array(n, mask=~known)], [*back, "nats", "n"])
 
     return docs.mapInArrow(lean(run), schema)
 
 
-def nats_joined(docs: DataFrame, entries: DataFrame, order: int = ORDER, shards: int = 64, lang: str = "lang", folds: int = 0) -> DataFrame:
-    """The same for models too large to broadcast: each document's distinct grams meet the sharded
-    entries in one join for all orders, and come back to their document."""
-    ship(docs.sparkSession)
-    by = lang
-    wide = docs.select("*", F.monotonically_increasing_id().alias("row"))
-    wide = materialise(wide, "rows")
+def nats_joined(docs: DataFrame, entries: DataFrame, order: int = ORDER, text: str = "text", label: str = "lang", drop: tuple[str, ...] = (), shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """The same for models too large to broadcast. Documents are dealt by row to shards of about
+    ``shard_chars`` characters; the distinct grams of a shard, one row each, meet the sharded entries of
+    every order, and their surprisals go to the shard's documents."""
+    spark = docs.sparkSession
+    ship(spark)
+    names = docs.columns
+    back = [c for c in names if c not in drop]
+    chars = docs.agg(F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()[0]
+    rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chars // shard_chars + 1)).alias("_shard"), "*")
+    rows = materialise(rows.repartition("_shard"), "shards")
+    need = rows.select("_shard", F.col(text).alias("text"), F.col(label).alias("label"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if not t or lang is None:
-                    continue
-                plain, salt = _of(lang, folds)
-                for at, part in enumerate(_positions(t, plain, order)):
-                    _, first, n = np.unique(part[:, 0], return_index=True, return_counts=True)
-                    h = part[first].view(np.int64) ^ np.int64(salt)
-                    k = len(n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, row)), pa.array(np.full(k, at)), pa.array(n.astype(np.int64)), pa.array([lang] * k, pa.string()), pa.array([x.tolist() for x in h], pa.list_(pa.int64()))],
-                        ["row", "part", "n", "lang", "hashes"],
-                    )
-
-    found = wide.select("row", "text", F.col(by).alias("lang")).mapInArrow(lean(grams), "row long, part long, n long, lang string, hashes array<long>")
-    slots = found.select("row", "part", "n", "lang", F.col("hashes")[0].alias("gram"), F.posexplode("hashes").alias("slot", "hash"))
-    # a common gram is a hot key: it is dealt over shards, and each shard has a copy of the entries
-    slots = slots.withColumn("shard", F.pmod(F.col("row"), F.lit(shards)))
-    copies = entries.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    got = slots.join(copies, ["hash", "shard"], "left").groupBy("row", "part", "gram", "lang", "n")
-    slot = lambda i: F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"v{i}")
-    values = got.agg(*(slot(i) for i in range(2 * order)))
-    uniform = entries.select(F.col("hash").alias("u"), F.col("value").alias("uniform"))
-    p = F.col("uniform")
-    values = values.withColumn("u", F.xxhash64(F.lit("uniform"), "lang")).join(uniform, "u")
-    for k in range(order - 1, -1, -1):
-        share, weight = F.col(f"v{2 * k}"), F.col(f"v{2 * k + 1}")
-        p = F.when(weight.isNull(), p).otherwise(F.coalesce(share, F.lit(0.0)) + weight * p)
-    sums = values.groupBy("row").agg(F.sum(-F.log(p) * F.col("n")).alias("nats"), F.sum("n").alias("n"))
-    known = values.select(F.col("lang").alias(by)).distinct().withColumn("known", F.lit(True))
-    out = wide.join(sums, "row", "left").join(known, by, "left")
-    keep = F.col("known").isNotNull()
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(keep, F.coalesce("nats", F.lit(0.0))).alias("nats"), F.when(keep, F.coalesce("n", F.lit(0))).alias("n"))
+            found: dict[tuple[int, str], list[tuple[int, str]]] = {}
+            for shard, t, name in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if t and name is not None:
+                    found.setdefault((shard, name), []).append((0, t))
+            for (shard, name), own in found.items():
+                for points, at, _ in spans(iter(own), order):
+                    first = np.unique(_of_order(points, at, name, order), return_index=True)[1]
+                    s = points[at[first][:, None] + np.arange(1 - order, 1)].tobytes().decode("utf-32-le", "surrogatepass")
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(first), pa.int64()), pa.array([name] * len(first), pa.string()), pa.array([s[i : i + order] for i in range(0, len(s), order)], pa.string())], ["shard", "label", "gram"])
+
+    found = need.mapInArrow(lean(grams), "shard long, label string, gram string").distinct()
+    of = lambda kind, k, name: entries.where((F.col("kind") == kind) & (F.length("gram") == k)).select("label", F.col("gram").alias(f"key_{name}"), F.col("value").alias(name))
+    uniform = of(UNIFORM, 0, "u").drop("key_u")
+    uniform = few(uniform, "label")(uniform)
+    value = F.col("u")
+    for k in range(1, order + 1):
+        end = F.substring("gram", order - k + 1, k)
+        found = found.withColumns({f"key_g{k}": end, f"key_c{k}": F.left(end, F.lit(k - 1))})
+        found = found.join(of(GRAM, k, f"g{k}"), ["label", f"key_g{k}"], "left").join(of(WEIGHT, k - 1, f"c{k}"), ["label", f"key_c{k}"], "left")
+        value = F.coalesce(F.col(f"g{k}"), F.coalesce(F.col(f"c{k}"), F.lit(0.0)) + value)
+    resolved = found.join(uniform, "label").select("shard", "label", "gram", F.lit(GRAM).alias("kind"), value.alias("value"))
+    # a label's own row marks it as known in each shard that asks for it
+    marks = need.select(F.col("_shard").alias("shard"), "label").distinct().join(uniform, "label").select("shard", "label", F.lit(""), F.lit(UNIFORM), "u")
+    resolved = materialise(resolved.union(marks), "surprisals")
+    keyed = resolved.select("shard", "label", "gram", "kind", "value")
+    schema = StructType([*(docs.schema[c] for c in back), StructField("nats", DoubleType()), StructField("n", LongType())])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:  # SHARD_CHARS characters, about, and no more grams
+        cols = right.combine_chunks().to_batches()
+        h, v = [], []
+        for b in cols:
+            by: dict[tuple, list[int]] = {}
+            labels, strings, kinds = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("label", "gram", "kind"))
+            for i, (name, kind) in enumerate(zip(labels, kinds)):
+                by.setdefault((name, kind), []).append(i)
+            values = b.column(b.schema.get_field_index("value")).to_numpy(zero_copy_only=False)
+            for (name, kind), at in by.items():
+                got = _start(name, kind, len(at))
+                if kind == GRAM:
+                    points = _points("".join([strings[i] for i in at])).reshape(-1, order)
+                    with np.errstate(over="ignore"):
+                        for j in range(order - 1, -1, -1):
+                            got = _mix(got, points[:, j].astype(np.uint64))
+                h.append(got.view(np.int64))
+                v.append(values[at])
+        model = Model(np.concatenate(h) if h else np.empty(0, dtype=np.int64), np.concatenate(v) if v else np.empty(0), order)
+        nats, n, known = _nats(left.column(text).to_pylist(), left.column(label).to_pylist(), model)
+        return pa.table([*(left.column(c) for c in back), pa.array(nats, mask=~known), pa.array(n, mask=~known)], names=[*back, "nats", "n"])
+
+    return rows.groupBy("_shard").cogroup(keyed.withColumnRenamed("shard", "_shard").groupBy("_shard")).applyInArrow(score, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -325,49 +389,64 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("trusted"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES, with_text: bool = True, folds: int = 0) -> DataFrame:
-    """``docs`` with ``nats``, ``n`` and ``trusted`` added, and without the texts if told so. With folds, a
-    trusted document's are those of the model that leaves its fold out; null if that is no model."""
-    ids = trusted_ids(labels)
+#: Columns that the results add, in the place of columns of these names.
+ADDED = ("nats", "n", "trusted", "score", "threshold", "keep")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id: str, text: str, lang: str, order: int, broadcast_entries: int, with_text: bool, folds: int) -> DataFrame:
+    """``docs`` (columns of any names but those that begin with _ and those of ADDED) with ``trusted``,
+    ``nats`` and ``n``."""
+    ids = trusted_ids(labels).withColumnsRenamed({"doc_id": "_id", "trusted": "_trusted"})
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    by = "_model" if folds else "lang"
-    names = [*docs.columns, "trusted"]
-    marked = docs.join(ids, "doc_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    good = marked.where("trusted and text is not null and lang is not null")
+    marked = docs.join(ids, F.col(id) == F.col("_id"), "left").select(*docs.columns, F.coalesce("_trusted", F.lit(False)).alias("trusted"))
+    good = marked.where(F.col("trusted") & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    by = lang
     if folds:
-        fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("string")  # equal texts share a fold
-        good = good.withColumn("lang", F.concat("lang", F.lit(SEP), fold))
-        marked = marked.withColumn(by, F.concat("lang", F.lit(SEP), F.when(F.col("trusted") & F.col("text").isNotNull(), fold).otherwise("")))
-    entries = train(good.select("text", "lang"), order, folds)
-    back = lambda found: found.select(*[F.col(f"`{c}`") for c in names if with_text or c != "text"], "nats", "n")
+        by, fold = "_model", lambda c: F.pmod(F.xxhash64(c), F.lit(folds)).cast("string")  # equal texts share a fold
+        good = good.withColumn("lang", F.concat("lang", F.lit(SEP), fold("text")))
+        marked = marked.withColumn(by, F.concat(lang, F.lit(SEP), F.when(F.col("trusted") & F.col(text).isNotNull(), fold(text)).otherwise("")))
+    entries = train(good, order, folds)
+    drop = (*((by,) if folds else ()), *(() if with_text else (text,)))
     if entries.count() > broadcast_entries:
-        return back(nats_joined(marked, entries, order, lang=by, folds=folds))
-    langs = [r.lang for r in marked.where("trusted and lang is not null and text != ''").select("lang").distinct().collect()]
-    langs = [f"{x}{SEP}{k}" for x in langs for k in ("", *range(folds))] if folds else langs
-    keys = {r.lang: r.u for r in docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string").select("lang", F.xxhash64(F.lit("uniform"), "lang").alias("u")).collect()} if langs else {}
-    got = entries.toArrow()  # broadcast_entries at most
-    model = Model(got.column("hash").to_numpy(), got.column("value").to_numpy(), {}, order)
-    found = {lang: float(model.lookup(np.array([u]))[0]) for lang, u in keys.items()}
-    model.uniform = {lang: u for lang, u in found.items() if not np.isnan(u)}
-    return back(nats_broadcast(marked, model, with_text, by, folds))
+        return nats_joined(marked, entries, order, text, by, drop)
+    got = hashed(entries).toArrow()  # broadcast_entries at most
+    return nats_broadcast(marked, Model(got.column("hash").to_numpy(), got.column("value").to_numpy(), order), text, by, drop)
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` without columns of ADDED, under names that clash with none, and these names."""
+    names = {c: f"in{i}" for i, c in enumerate(c for c in docs.columns if c not in ADDED)}
+    return docs.select(*(F.col(f"`{c}`").alias(x) for c, x in names.items())), names
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES, with_text: bool = True, folds: int = 0) -> DataFrame:
+    """``docs`` with ``trusted``, ``nats`` and ``n`` (in the place of columns of ADDED), and without the
+    texts if told so. With folds, a trusted document's are those of the model that leaves its fold out;
+    null if that is no model."""
+    inner, name = _plain(docs)
+    found = _scored(inner, labels, name["doc_id"], name["text"], name["lang"], order, broadcast_entries, with_text, folds)
+    return found.select(*(F.col(x).alias(c) for c, x in name.items() if with_text or c != "text"), "trusted", "nats", "n")
 
 
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK, with_text: bool = True, folds: int = FOLDS) -> DataFrame:
-    """``docs`` (doc_id, text, lang and more) with ``nats``, ``n``, ``score``, ``threshold`` and ``keep``.
+    """``docs`` (doc_id, text, lang and more) with ``nats``, ``n``, ``score``, ``threshold`` and ``keep``, in
+    the place of columns of ADDED; other columns stay, whatever their names.
 
     ``score`` is the shrunk log-perplexity in nats a character, ``threshold`` that of the document's
     language; ``keep`` is false above it. Trusted documents are scored by a model without their fold.
-    Documents of a null language or one with fewer than FEWEST trusted texts, and null or empty texts, have nothing against them and are kept. Rows with a null id are scored but
-    never trusted; repeated rows stay repeated. Without trusted documents all are kept. Scores are
-    written once, with the texts unless ``with_text`` is false.
+    Documents of a null language or one with fewer than FEWEST trusted texts, and null or empty texts,
+    have nothing against them and are kept. Rows with a null id are scored but never trusted; repeated
+    rows stay repeated. Without trusted documents all are kept, and an empty table gives no rows. Texts
+    of any length are scored whole. Scores are written once, with the texts unless ``with_text`` is false.
     """
-    names = [c for c in docs.columns if with_text or c != "text"]
-    scored = materialise(perplexities(docs, labels, order, with_text=with_text, folds=folds), "perplexity")
-    means = scored.where("trusted and n > 0").groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("mean"))  # a row per language
-    score = (F.col("nats") + shrink * F.col("mean")) / (F.col("n") + shrink)
-    smooth = scored.join(F.broadcast(means), "lang", "left").withColumn("score", score)
-    limits = smooth.where("trusted and n > 0").groupBy("lang").agg((F.percentile_approx("score", quantile, 10_000) + margin * F.greatest(F.lit(1.0), ENOUGH / F.count("*"))).alias("threshold"), F.count("*").alias("texts")).where(F.col("texts") >= FEWEST)
-    limits = limits.select(F.col("lang").alias("of"), "threshold")
-    found = smooth.join(F.broadcast(limits), F.col("lang") == F.col("of"), "left")
-    return found.select(*[F.col(f"`{c}`") for c in names], "nats", "n", "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("keep"))
+    inner, name = _plain(docs)
+    scored = materialise(_scored(inner, labels, name["doc_id"], name["text"], name["lang"], order, BROADCAST_ENTRIES, with_text, folds), "perplexity")
+    evidence = scored.where("trusted and n > 0")
+    side, lang = few(evidence, name["lang"]), F.col(name["lang"])
+    means = side(evidence.groupBy(lang.alias("_of")).agg((F.sum("nats") / F.sum("n")).alias("_mean")))
+    score = (F.col("nats") + shrink * F.col("_mean")) / (F.col("n") + shrink)
+    limits = evidence.join(means, lang == F.col("_of")).groupBy("_of").agg(F.first("_mean").alias("_mean"), F.percentile_approx(score, quantile, 10_000).alias("_top"), F.count("*").alias("_texts"))
+    limit = F.when(F.col("_texts") >= FEWEST, F.col("_top") + margin * F.greatest(F.lit(1.0), ENOUGH / F.col("_texts")))
+    found = scored.join(side(limits.select("_of", "_mean", limit.alias("threshold"))), lang == F.col("_of"), "left").withColumn("score", score)
+    return found.select(*(F.col(x).alias(c) for c, x in name.items() if with_text or c != "text"), "nats", "n", "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("keep"))

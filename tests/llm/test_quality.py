@@ -96,11 +96,23 @@ def test_rejects_bad_and_keeps_good(spark):
 
 
 def test_long_text_in_parts():
-    t = "ab c" * 300_000 + "end"
-    whole = quality.chains(t, "x")
     import numpy as np
 
-    assert (np.concatenate(list(quality._positions(t, "x", 4))) == whole).all()
+    texts = ["ab c" * 30_000 + "end", "", "x", "yz" * 70]
+    whole = [quality._of_order(p, at, "x", 4) for p, at, _ in quality.spans(enumerate(texts), 4, 10**9)]
+    parts = [(quality._of_order(p, at, "x", 4), own) for p, at, own in quality.spans(enumerate(texts), 4, 1000)]
+    assert len(whole) == 1 and (np.concatenate([h for h, _ in parts]) == whole[0]).all()
+    assert np.bincount(np.concatenate([own for _, own in parts])).tolist() == [len(t) + 1 for t in texts]
+
+
+def test_clashing_columns(spark):
+    docs, labels = corpus(spark, 60)
+    d, lab = frames(spark, docs, labels)
+    want = {r.doc_id: (r.nats, r.keep) for r in quality.judge(d, lab).collect()}
+    odd = d.selectExpr("*", "1 as n", "'x' as score", "2 as nats", "3 as trusted", "4 as threshold", "5 as keep", "6 as mean", "7 as label", "8 as gram", "9 as _id", "10 as of")
+    rows = quality.judge(odd, lab).collect()
+    assert {r.doc_id: (r.nats, r.keep) for r in rows} == want and rows[0].label == 7
+    assert {r.doc_id: r.nats for r in quality.perplexities(odd, lab, folds=3, broadcast_entries=0).collect()} == pytest.approx({i: x for i, (x, _) in want.items()})
 
 
 def test_edges(spark, edge_docs):
