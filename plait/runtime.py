@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_stages: list[tuple[SparkSession, str]] = []
 
 
 #: Rows of an Arrow batch, unless the session says otherwise: texts and vectors are long rows, and a
@@ -63,14 +65,16 @@ def lean(kernel):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-    Only where the session names none, as in tests, a local one is made."""
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``). Only a session on
+    one machine may name none: a local one is made for it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
         current = sc._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="plait-shared-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
@@ -87,6 +91,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its path: a table that :func:`cleanup` leaves
+    until the driver ends, for results that several steps read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/plait/stage-{tag}-{unique()}"
+    df.write.option("compression", "zstd").parquet(path)
+    _stages.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def unique() -> str:
     return uuid.uuid4().hex
 
@@ -103,15 +117,19 @@ def written() -> int:
 
 def cleanup(first: int = 0) -> None:
     """Delete the tables that :func:`materialise` wrote in this process, from the ``first`` on."""
-    while len(_written) > first:
-        spark, path = _written.pop()
+    _drop(_written, first)
+
+
+def _drop(tables: list[tuple[SparkSession, str]], first: int) -> None:
+    while len(tables) > first:
+        spark, path = tables.pop()
         try:
             delete(spark, path)
         except Exception:  # the session may have ended already
             pass
 
 
-atexit.register(cleanup)
+atexit.register(lambda: (_drop(_written, 0), _drop(_stages, 0)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
