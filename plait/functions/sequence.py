@@ -112,3 +112,86 @@ def subpath(name: Column) -> tuple[Column, Column, Column]:
     ranged = name.rlike(pattern)
     part = lambda i: F.when(ranged, F.regexp_extract(name, pattern, i))
     return part(1), part(2).cast("long"), part(3).cast("long")
+
+
+# --- text and numbers ------------------------------------------------------------------------------
+
+# fixed values: the spellings of truth values
+TRUE_WORDS, FALSE_WORDS = ("true", "True", "TRUE", "t", "T", "1"), ("false", "False", "FALSE", "f", "F", "0")
+
+
+def tokenize(text: Column | str, separator: str) -> Column:
+    """Parts between separators; an empty part at the end is left out."""
+    parts = F.split(F.col(text) if isinstance(text, str) else text, f"\\Q{separator}\\E", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def join(parts: Column | str, separator: str) -> Column:
+    return F.array_join(parts, separator)
+
+
+def parse_int(text: Column | str) -> Column:
+    """A whole number; other text is an error."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast("long"))
+
+
+def parse_double(text: Column | str) -> Column:
+    """A number; other text is an error."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.cast("double")).otherwise(F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double"))
+
+
+def parse_truth(text: Column | str) -> Column:
+    """A truth value in one of its twelve spellings; other text is an error."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.isin(*TRUE_WORDS), True).when(text.isin(*FALSE_WORDS), False).otherwise(F.raise_error(F.concat(F.lit("not a truth value: "), text)).cast("boolean"))
+
+
+def to_hex(number: Column | str) -> Column:
+    return F.lower(F.hex(number))
+
+
+def names_digest(names: Column | str) -> Column:
+    """A name for a set of names, in 16 hexadecimal digits: it does not depend on their order."""
+    names = F.col(names) if isinstance(names, str) else names
+    return F.substring(F.sha2(F.array_join(F.array_sort(names), "\u0000"), 256), 1, 16)
+
+
+# --- arrays ----------------------------------------------------------------------------------------
+
+
+def number_range(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+
+
+def inverted(permutation: Column) -> Column:
+    """Where each of 0 to n - 1 stands."""
+    return F.transform(number_range(F.size(permutation)), lambda i: (F.array_position(permutation, i) - 1).cast("long"))
+
+
+def reordered(items: Column, order: Column) -> Column:
+    """Items moved to the places that ``order`` gives them."""
+    return F.transform(inverted(order), lambda i: F.get(items, i.cast("int")))
+
+
+def without_indices(items: Column, gone: Column) -> Column:
+    """Items whose places are not in ``gone``."""
+    return F.filter(items, lambda x, i: ~F.array_contains(gone, i.cast("long")))
+
+
+def high_bit(number: Column) -> Column:
+    """The place of the highest bit that is set, from 0; null for zero."""
+    return F.when(number > 0, F.length(F.bin(number)) - 1)
+
+
+def range_minimum(items: Column, begin: Column, end: Column) -> Column:
+    """The place of the least of items[begin:end], the first of equal ones."""
+    part = F.slice(items, begin + 1, end - begin)
+    return begin + F.array_position(part, F.array_min(part)) - 1
+
+
+def range_distinct(items: Column, begin: Column, end: Column) -> Column:
+    """How many different items stand in items[begin:end]."""
+    return F.size(F.array_distinct(F.slice(items, begin + 1, end - begin)))

@@ -1,18 +1,69 @@
 """Graph operators on node, edge and step tables, in DataFrame operations.
 
-``nodes`` is (node_id, label), ``edges`` (src, dst), ``steps`` (path_id, step, node_id). Iterations
-over layers run on the driver and touch one layer a round; they are meant for layered or compacted
-graphs, and stop with an error rather than run on without end. Deep graphs go to the array kernels.
+``nodes`` is (node_id, label), ``edges`` (src, dst), ``steps`` (path_id, step, node_id). A graph of up to
+``ONE_GROUP`` rows is one bounded group for what goes layer by layer: an array kernel does it in one
+task. A larger one is gone through on the driver, a layer a round; a round writes its own layer only and
+reads the earlier layers that have edges into it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plait.kernels import dag
 from plait.model import PathGraph
 from plait.operators.components import connected_components
-from plait.runtime import shared_dir
+from plait.runtime import shared_dir, ship
+
+#: Rows of nodes, edges and steps up to which a graph is one group.
+ONE_GROUP = 2_000_000
+
+
+class CycleError(ValueError):
+    """A graph that should have no cycle has one."""
+
+
+def _fits(*tables: DataFrame) -> bool:
+    left = ONE_GROUP
+    for t in tables:
+        left -= t.limit(left + 1).count()
+        if left < 0:
+            return False
+    return True
+
+
+def _in_one_task(parts: list[DataFrame], kernel: Callable, schema: str) -> DataFrame:
+    """``kernel`` of one array of shape (rows, columns) of longs for each part (-1 for null), whose rows it
+    is given whole in one task; its columns as a table."""
+    spark = parts[0].sparkSession
+    ship(spark)
+    width = max(len(p.columns) for p in parts)
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = None
+    for i, p in enumerate(parts):
+        one = p.select(F.lit(i).cast("long").alias("part"), *(F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")).alias(f"c{k}") for k, c in enumerate(p.columns)), *(F.lit(-1).cast("long").alias(f"c{k}") for k in range(len(p.columns), width)))
+        rows = one if rows is None else rows.union(one)
+    sizes = [len(p.columns) for p in parts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) for b in batches if b.num_rows]
+        every = np.concatenate(held) if held else np.empty((0, width + 1), dtype=np.int64)
+        cols = kernel(*(every[every[:, 0] == i][:, 1 : 1 + n] for i, n in enumerate(sizes)))
+        for at in range(0, len(cols[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000], pa.int64()) for c in cols], names)
+
+    return rows.repartition(1).mapInArrow(run, schema)
+
+
+def _indexed(nodes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, src, dst): edges by place in the sorted names."""
+    names = np.unique(np.concatenate((nodes.ravel(), edges.ravel())))
+    return names, np.searchsorted(names, edges[:, 0]), np.searchsorted(names, edges[:, 1])
 
 
 def leaf_graph(sequences: DataFrame, name: str = "name", seq: str = "seq") -> PathGraph:
@@ -99,110 +150,245 @@ def unipaths(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
     return jump.select("node_id", F.col("node_id").alias("unipath"), F.lit(0).cast("long").alias("place"))
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(node_id, layer): the longest walk to each node, a topological order by layers. Layers are peeled
-    from the sources; a cycle is an error."""
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, layer): the longest walk to each node, a topological order by layers. A cycle is a
+    :class:`CycleError`."""
     shared_dir(nodes.sparkSession)
-    left = make_simple(edges).checkpoint()
-    n, taken = left.count(), []
+    simple = make_simple(edges).checkpoint()
+    if _fits(nodes, simple):
+
+        def kernel(v: np.ndarray, e: np.ndarray) -> tuple:
+            names, src, dst = _indexed(v, e)
+            return names, dag.layers_of(len(names), src, dst)
+
+        out = _in_one_task([nodes.select("node_id"), simple], kernel, "node_id long, layer long").checkpoint()
+        if out.where("layer < 0").limit(1).count():
+            raise CycleError("the graph has a cycle")
+        return out.join(nodes.select("node_id"), "node_id", "left_semi")
+    left, n, taken = simple, simple.count(), []
     while n:
-        if len(taken) >= most:
-            raise ValueError(f"more than {most} layers")
         tops = left.select("src").distinct().join(left.select(F.col("dst").alias("src")), "src", "left_anti")
         marked = left.join(tops.withColumn("top", F.lit(True)), "src", "left").checkpoint()
         # a node lies one below the last layer that an edge into it leaves
-        taken.append(marked.where("top").select(F.col("dst").alias("node_id"), F.lit(len(taken) + 1).alias("layer")))
+        taken.append(marked.where("top").select(F.col("dst").alias("node_id"), F.lit(len(taken) + 1).cast("long").alias("layer")))
         left = marked.where("top is null").select("src", "dst")
         rest = left.count()
         if rest == n:
-            raise ValueError("the graph has a cycle")
+            raise CycleError("the graph has a cycle")
         n = rest
-    out = nodes.select("node_id", F.lit(0).alias("layer"))
+    out = nodes.select("node_id", F.lit(0).cast("long").alias("layer"))
     for t in taken:
         out = out.union(t)
     return out.groupBy("node_id").agg(F.max("layer").alias("layer")).checkpoint()
 
 
-def is_acyclic(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> bool:
+def is_acyclic(nodes: DataFrame, edges: DataFrame) -> bool:
     try:
-        layers(nodes, edges, most)
-    except ValueError as e:
-        if "cycle" in str(e):
-            return False
-        raise
+        layers(nodes, edges)
+    except CycleError:
+        return False
     return True
 
 
-def fold_layers(layered: DataFrame, edges: DataFrame, start, combine: dict, most: int = 10_000) -> DataFrame:
-    """Dynamic programming over a layered graph: ``start`` maps column names to their value at sources
-    (nodes of layer 0), ``combine`` to the aggregate over predecessors. One join per layer, on that
-    layer's edges alone."""
+def topological_order(nodes: DataFrame, edges: DataFrame, layered: DataFrame | None = None) -> DataFrame:
+    """(node_id, place): a total order that all edges follow, by layer and id. Places are offsets of layers,
+    from a row a layer, plus ranks within the layer."""
+    layered = layers(nodes, edges) if layered is None else layered
+    before = Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)
+    first = layered.groupBy("layer").agg(F.count("*").alias("n")).select("layer", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("layer").orderBy("node_id"))
+    return layered.withColumn("rank", rank).join(first, "layer").select("node_id", (F.col("first") + F.col("rank") - 1).alias("place"))
+
+
+def _sweep(edges: DataFrame, layered: DataFrame, start: DataFrame, own: DataFrame | None, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """States of nodes, a layer a round: ``fold`` takes the states of a layer's predecessors, by edge (src,
+    node_id and the state's columns), to the layer's, which ``own`` joins. A round writes its own layer."""
     shared_dir(layered.sparkSession)
-    where = edges.join(layered.select(F.col("node_id").alias("dst"), "layer"), "dst").select("src", "dst", "layer").checkpoint()
-    depth = layered.agg(F.max("layer")).first()[0]
-    done = layered.where("layer = 0").select("node_id", *[F.lit(v).alias(c) for c, v in start.items()])
-    out = done
-    if depth is None:
-        return out
-    if depth > most:
-        raise ValueError(f"more than {most} layers")
-    for k in range(1, depth + 1):
-        step = where.where(F.col("layer") == k).join(out.withColumnRenamed("node_id", "src"), "src")
-        out = out.union(step.groupBy(F.col("dst").alias("node_id")).agg(*[f.alias(c) for c, f in combine.items()])).checkpoint()
+    at = lambda c: layered.select(F.col("node_id").alias(c), F.col("layer").alias(f"{c}_layer"))
+    placed = edges.join(at("src"), "src").join(at("dst"), "dst").checkpoint()
+    ahead: dict[int, list[int]] = {}
+    for a, b in placed.select("src_layer", "dst_layer").distinct().collect():  # pairs of layers
+        ahead.setdefault(b, []).append(a)
+    done = {0: start.checkpoint()}
+    for k in sorted(ahead):
+        before = None
+        for a in ahead[k]:
+            before = done[a] if before is None else before.union(done[a])
+        step = placed.where(F.col("dst_layer") == k).select("src", F.col("dst").alias("to")).join(before.withColumnRenamed("node_id", "src"), "src")
+        states = fold(step.withColumnRenamed("to", "node_id"))
+        if own is not None:
+            mine = own.join(layered.where(F.col("layer") == k).select("node_id"), "node_id", "left_semi")
+            states = fold(states.withColumn("src", F.lit(None).cast("long")).unionByName(mine.withColumn("src", F.lit(None).cast("long")), allowMissingColumns=True))
+        done[k] = states.checkpoint()
+    out = None
+    for d in done.values():
+        out = d if out is None else out.union(d)
     return out
 
 
 def minmax_distance(nodes: DataFrame, edges: DataFrame, layered: DataFrame | None = None) -> DataFrame:
     """(node_id, min_distance, max_distance): the shortest and longest walks from sources, in edges."""
+    simple = make_simple(edges)
+    if layered is None and _fits(nodes, simple):
+
+        def kernel(v: np.ndarray, e: np.ndarray) -> tuple:
+            names, src, dst = _indexed(v, e)
+            layer = dag.layers_of(len(names), src, dst)
+            if (layer < 0).any():
+                raise CycleError("the graph has a cycle")
+            return names, *dag.distances(layer, src, dst)
+
+        return _in_one_task([nodes.select("node_id"), simple], kernel, "node_id long, min_distance long, max_distance long")
     layered = layers(nodes, edges) if layered is None else layered
-    return fold_layers(layered, make_simple(edges), {"min_distance": 0, "max_distance": 0}, {"min_distance": F.min(F.col("min_distance") + 1), "max_distance": F.max(F.col("max_distance") + 1)})
+    zero = F.lit(0).cast("long")
+    start = layered.where("layer = 0").select("node_id", zero.alias("min_distance"), zero.alias("max_distance"))
+    return _sweep(simple, layered, start, None, lambda s: s.groupBy("node_id").agg(F.min(F.col("min_distance") + 1).alias("min_distance"), F.max(F.col("max_distance") + 1).alias("max_distance")))
 
 
 def count_walks(nodes: DataFrame, edges: DataFrame, layered: DataFrame | None = None) -> DataFrame:
     """(node_id, walks): walks from any source, saturating at the largest long."""
+    simple = make_simple(edges)
+    if layered is None and _fits(nodes, simple):
+
+        def kernel(v: np.ndarray, e: np.ndarray) -> tuple:
+            names, src, dst = _indexed(v, e)
+            layer = dag.layers_of(len(names), src, dst)
+            if (layer < 0).any():
+                raise CycleError("the graph has a cycle")
+            return names, dag.walks(layer, src, dst)
+
+        return _in_one_task([nodes.select("node_id"), simple], kernel, "node_id long, walks long")
     layered = layers(nodes, edges) if layered is None else layered
     total = F.least(F.sum(F.col("walks").cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
-    return fold_layers(layered, make_simple(edges), {"walks": 1}, {"walks": total}).select("node_id", F.col("walks").cast("long").alias("walks"))
+    start = layered.where("layer = 0").select("node_id", F.lit(1).cast("long").alias("walks"))
+    return _sweep(simple, layered, start, None, lambda s: s.groupBy("node_id").agg(total.alias("walks")))
 
 
-def reach(steps: DataFrame, edges: DataFrame, layered: DataFrame) -> DataFrame:
+def reach(steps: DataFrame, edges: DataFrame, layered: DataFrame | None = None) -> DataFrame:
     """(node_id, path_id, last_step): for each node and path the last step of the path from which the node
     can be reached, its own included. ``a`` on a path at step s reaches ``b`` if s <= last_step."""
     shared_dir(steps.sparkSession)
     own = steps.groupBy("node_id", "path_id").agg(F.max("step").alias("last_step"))
-    where = make_simple(edges).join(layered.select(F.col("node_id").alias("dst"), "layer"), "dst").checkpoint()
-    depth = layered.agg(F.max("layer")).first()[0] or 0
-    out = own.join(layered.where("layer = 0").select("node_id"), "node_id", "left_semi")
-    for k in range(1, depth + 1):
-        step = where.where(F.col("layer") == k).join(out.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id"), "path_id", "last_step")
-        mine = own.join(layered.where(F.col("layer") == k).select("node_id"), "node_id", "left_semi")
-        out = out.union(step.union(mine).groupBy("node_id", "path_id").agg(F.max("last_step").alias("last_step"))).checkpoint()
-    return out
+    simple = make_simple(edges)
+    nodes = steps.select("node_id").union(simple.select("src")).union(simple.select("dst")).distinct()
+    paths = steps.select("path_id").distinct().limit(1001).collect()
+    if layered is None and len(paths) <= 1000 and _fits(own, simple) and nodes.count() * len(paths) <= 20 * ONE_GROUP:
+        names = [r.path_id for r in paths]  # a thousand at most
+        kind = steps.schema["path_id"].dataType.simpleString()
+        number = F.create_map(*(F.lit(x).cast(kind if i % 2 == 0 else "long") for p in enumerate(names) for i, x in enumerate((p[1], p[0])))) if names else F.lit(None)
+
+        def kernel(o: np.ndarray, e: np.ndarray) -> tuple:
+            every, src, dst = _indexed(o[:, 0], e)
+            layer = dag.layers_of(len(every), src, dst)
+            if (layer < 0).any():
+                raise CycleError("the graph has a cycle")
+            held = np.full((len(every), max(1, o[:, 1].max(initial=0) + 1)), -1, dtype=np.int64)
+            held[np.searchsorted(every, o[:, 0]), o[:, 1]] = o[:, 2]
+            got = dag.last_steps(layer, src, dst, held)
+            at, path = np.nonzero(got >= 0)
+            return every[at], path, got[at, path]
+
+        if names:
+            found = _in_one_task([own.select("node_id", number[F.col("path_id")].alias("path"), "last_step"), simple], kernel, "node_id long, path long, last_step long")
+            back = F.array(*(F.lit(x).cast(kind) for x in names))
+            return found.select("node_id", F.element_at(back, (F.col("path") + 1).cast("int")).alias("path_id"), "last_step")
+    layered = layers(nodes, edges) if layered is None else layered
+    start = own.join(layered.where("layer = 0").select("node_id"), "node_id", "left_semi")
+    return _sweep(simple, layered, start, own, lambda s: s.groupBy("node_id", "path_id").agg(F.max("last_step").alias("last_step")))
 
 
-def target_reachability(edges: DataFrame, targets: DataFrame, most: int = 10_000) -> DataFrame:
-    """(node_id, hops): every node that reaches one of ``targets`` (node_id), with its least number of edges."""
-    shared_dir(edges.sparkSession)
-    back = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("next"))
-    return _breadth(back, targets, most)
+def reachable(pairs: DataFrame, reached: DataFrame, steps: DataFrame) -> DataFrame:
+    """(a, b, reachable) of pairs of nodes on paths, from :func:`reach`: an equality on the path, and a step
+    of ``a`` no later than the last one that reaches ``b``."""
+    first = steps.groupBy("node_id", "path_id").agg(F.min("step").alias("step"))
+    on = pairs.select("a", "b").distinct().join(first.withColumnRenamed("node_id", "a"), "a").join(reached.withColumnRenamed("node_id", "b"), ["b", "path_id"])
+    held = on.where("step <= last_step").select("a", "b").distinct().withColumn("reachable", F.lit(True))
+    return pairs.select("a", "b").join(held, ["a", "b"], "left").select("a", "b", F.coalesce("reachable", F.lit(False)).alias("reachable"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 10_000) -> DataFrame:
-    """(node_id, hops): every node that ``sources`` (node_id) reach, with its least number of edges."""
-    return _breadth(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")), sources, most)
+def chain_cover(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """(path_id, step, node_id) of a cover by chains without common nodes: the maximal runs, named by
+    their first nodes."""
+    return unipaths(nodes, edges, steps).select(F.col("unipath").alias("path_id"), F.col("place").alias("step"), "node_id")
+
+
+def forward_edges(reached: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node_id, path_id, from_node): the last node of each path that reaches a node, from :func:`reach`."""
+    at = steps.select("path_id", F.col("step").alias("last_step"), F.col("node_id").alias("from_node"))
+    return reached.join(at, ["path_id", "last_step"]).select("node_id", "path_id", "from_node")
+
+
+def masked_forward_edges(forward: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Those forward edges that lead from an end of a match to a start of one (node_id)."""
+    return forward.join(starts.select("node_id"), "node_id", "left_semi").join(ends.select(F.col("node_id").alias("from_node")), "from_node", "left_semi").select("node_id", "path_id", "from_node")
+
+
+def post_switch_distances(steps: DataFrame, edges: DataFrame, layered: DataFrame) -> DataFrame:
+    """(node_id, path_id, last_step, distance): the least number of edges walked from the last step of each
+    path that reaches a node; zero on the path."""
+    own = steps.groupBy("node_id", "path_id").agg(F.max("step").alias("last_step")).withColumn("distance", F.lit(0).cast("long"))
+
+    def fold(s: DataFrame) -> DataFrame:
+        # a state that came along an edge has walked it
+        here = F.col("distance") + F.col("src").isNotNull().cast("long")
+        best = F.min(F.struct((-F.col("last_step")).alias("late"), here.alias("distance")))
+        return s.groupBy("node_id", "path_id").agg(best.alias("x")).select("node_id", "path_id", (-F.col("x.late")).alias("last_step"), F.col("x.distance").alias("distance"))
 
+    start = own.join(layered.where("layer = 0").select("node_id"), "node_id", "left_semi")
+    return _sweep(make_simple(edges), layered, start, own, fold)
 
-def _breadth(arcs: DataFrame, start: DataFrame, most: int) -> DataFrame:
-    shared_dir(arcs.sparkSession)
-    arcs = arcs.distinct().checkpoint()
-    front = start.select("node_id").distinct().checkpoint()
-    out = front.withColumn("hops", F.lit(0))
-    for hops in range(1, most + 1):
-        front = front.join(arcs, "node_id").select(F.col("next").alias("node_id")).distinct().join(out, "node_id", "left_anti").checkpoint()
-        if not front.limit(1).count():
-            return out
-        out = out.union(front.withColumn("hops", F.lit(hops))).checkpoint()
-    raise ValueError(f"more than {most} rounds")
+
+def target_reachability(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(node_id, hops): every node that reaches one of ``targets`` (node_id), with its least number of edges."""
+    return shortest_paths(reverse(edges), targets)
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node_id, hops): every node that ``sources`` (node_id) reach, with its least number of edges."""
+    shared_dir(edges.sparkSession)
+    arcs = make_simple(edges).checkpoint()
+    if _fits(arcs, sources):
+
+        def kernel(e: np.ndarray, s: np.ndarray) -> tuple:
+            names, src, dst = _indexed(s, e)
+            hops = dag.breadth_first(len(names), src, dst, np.searchsorted(names, s[:, 0]))
+            return names[hops >= 0], hops[hops >= 0]
+
+        return _in_one_task([arcs, sources.select("node_id")], kernel, "node_id long, hops long")
+    front = sources.select("node_id").distinct().checkpoint()
+    out, hops = [front.withColumn("hops", F.lit(0).cast("long"))], 0
+    while front.limit(1).count():
+        known = out[0]
+        for o in out[1:]:
+            known = known.union(o)
+        if len(out) > 16:
+            out = [known := known.checkpoint()]
+        hops += 1
+        front = front.join(arcs.withColumnRenamed("src", "node_id"), "node_id").select(F.col("dst").alias("node_id")).distinct().join(known, "node_id", "left_anti").checkpoint()
+        out.append(front.withColumn("hops", F.lit(hops).cast("long")))
+    known = out[0]
+    for o in out[1:]:
+        known = known.union(o)
+    return known
+
+
+def shortest_walk(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(step, node_id) of one walk of fewest nodes from ``sources`` to ``targets`` (node_id): of all such
+    walks, the one whose nodes have the smallest ids, from the end backwards. Empty if there is none."""
+    hops = shortest_paths(edges, sources)
+    ends = hops.join(targets.select("node_id"), "node_id", "left_semi")
+    on = make_simple(edges).join(hops.select(F.col("node_id").alias("src"), F.col("hops").alias("h")), "src").join(hops.select(F.col("node_id").alias("dst"), F.col("hops").alias("k")), "dst")
+    back = on.where("k = h + 1").groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("before")).checkpoint()
+    last = ends.agg(F.min(F.struct("hops", "node_id")).alias("x")).select("x.hops", "x.node_id").where("hops is not null").collect()  # one row
+    if not last:
+        return hops.limit(0).select(F.col("hops").alias("step"), "node_id")
+    up, span = back, 1
+    walk = edges.sparkSession.createDataFrame([(last[0].hops, last[0].node_id)], "step long, node_id long").checkpoint()
+    while span <= last[0].hops:  # ways back of doubled length
+        walk = walk.union(walk.join(up, "node_id").select((F.col("step") - span).alias("step"), F.col("before").alias("node_id"))).checkpoint()
+        up = up.join(up.select(F.col("node_id").alias("before"), F.col("before").alias("further")), "before").select("node_id", F.col("further").alias("before")).checkpoint()
+        span *= 2
+    return walk
 
 
 def connecting_nodes(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -222,6 +408,102 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def connecting_graph(g: PathGraph, sources: DataFrame, sinks: DataFrame) -> PathGraph:
+    """The subgraph strictly between ``sources`` and ``sinks``."""
+    return induced(g, connecting_nodes(g.edges, sources, sinks))
+
+
+def extending_nodes(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
+    """(node_id) of all that ``start`` (node_id) reaches, or is reached from, without itself."""
+    met = shortest_paths(edges, start) if forward else target_reachability(edges, start)
+    return met.select("node_id").join(start.select("node_id"), "node_id", "left_anti")
+
+
+def with_nodes(g: PathGraph, nodes: DataFrame) -> PathGraph:
+    """With further nodes (node_id, label); ids that are there already are an error of the caller."""
+    return PathGraph(g.nodes.unionByName(nodes.select("node_id", "label")), g.edges, g.steps)
+
+
+def without_nodes(g: PathGraph, nodes: DataFrame) -> PathGraph:
+    """Without nodes (node_id), their edges and their steps; later steps keep their numbers."""
+    gone = nodes.select("node_id").distinct()
+    edges = g.edges.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "dst"), "dst", "left_anti")
+    return PathGraph(g.nodes.join(gone, "node_id", "left_anti"), edges.select("src", "dst"), g.steps.join(gone, "node_id", "left_anti"))
+
+
+def relabelled(g: PathGraph, labels: DataFrame) -> PathGraph:
+    """With new labels (node_id, label) for the nodes named."""
+    new = labels.select("node_id", F.col("label").alias("new"))
+    return PathGraph(g.nodes.join(new, "node_id", "left").select("node_id", F.coalesce("new", "label").alias("label")), g.edges, g.steps)
+
+
+def with_edges(g: PathGraph, edges: DataFrame) -> PathGraph:
+    return PathGraph(g.nodes, g.edges.select("src", "dst").unionByName(edges.select("src", "dst")), g.steps)
+
+
+def without_edges(g: PathGraph, edges: DataFrame) -> PathGraph:
+    """Without any copy of the edges (src, dst)."""
+    return PathGraph(g.nodes, g.edges.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst"), g.steps)
+
+
+def extended(steps: DataFrame, more: DataFrame, front: bool = False) -> DataFrame:
+    """``steps`` with further ones (path_id, step, node_id; steps numbered from 0) behind the last step of
+    their path, or before its first, whose steps then move; a path that is not there yet begins."""
+    kept, new = steps.select("path_id", "step", "node_id"), more.select("path_id", "step", "node_id")
+    moved, other = (kept, new) if front else (new, kept)
+    shift = other.groupBy("path_id").agg((F.max("step") + 1).alias("shift"))
+    moved = moved.join(shift, "path_id", "left").select("path_id", (F.col("step") + F.coalesce("shift", F.lit(0))).alias("step"), "node_id")
+    return other.unionByName(moved)
+
+
+def reassigned(steps: DataFrame, subpaths: DataFrame) -> DataFrame:
+    """``steps`` with other nodes at the places of ``subpaths`` (path_id, step, node_id)."""
+    new = subpaths.select("path_id", "step", F.col("node_id").alias("new"))
+    return steps.join(new, ["path_id", "step"], "left").select("path_id", "step", F.coalesce("new", "node_id").alias("node_id"))
+
+
+def without_sentinels(edges: DataFrame, source: int = -1, sink: int = -2) -> DataFrame:
+    """``edges`` without those of :func:`sentinel_edges`."""
+    return edges.where((F.col("src") != source) & (F.col("dst") != sink))
+
+
+def reassigned_sentinels(nodes: DataFrame, edges: DataFrame, steps: DataFrame, source: int = -1, sink: int = -2) -> DataFrame:
+    """(src, dst) of the sentinels' edges anew, after the graph has changed."""
+    return sentinel_edges(nodes, without_sentinels(edges, source, sink), steps, source, sink)
+
+
+def densified(g: PathGraph) -> PathGraph:
+    """The graph with node ids from 0 in the order of the old ones. Ids are ranks within ranges of old ids
+    plus the ranges' offsets, so no task sees all of them."""
+    width = 1_000_000
+    at = F.floor(F.col("node_id") / width)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = g.nodes.groupBy(at.alias("range")).agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("node_id"))
+    to = g.nodes.select("node_id", at.alias("range")).withColumn("rank", rank).join(first, "range").select("node_id", (F.col("first") + F.col("rank") - 1).alias("to"))
+    move = lambda df, c: df.join(to.select(F.col("node_id").alias(c), F.col("to").alias(f"{c}_to")), c).drop(c).withColumnRenamed(f"{c}_to", c)
+    return PathGraph(move(g.nodes, "node_id").select("node_id", "label"), move(move(g.edges.select("src", "dst"), "src"), "dst").select("src", "dst"), move(g.steps, "node_id").select("path_id", "step", "node_id"))
+
+
+def cycle_closed(edges: DataFrame, source: int = -1, sink: int = -2) -> DataFrame:
+    """``edges`` and one from the sink back to the source, so that a graph between sentinels is a cycle."""
+    return edges.select("src", "dst").union(edges.sparkSession.createDataFrame([(sink, source)], "src long, dst long"))
+
+
+def side_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, side, component): adjacency components of node sides, 0 where edges enter and 1 where they
+    leave, each named by its smallest side (twice the id plus the side)."""
+    sides = nodes.select(F.explode(F.array(F.col("node_id") * 2, F.col("node_id") * 2 + 1)).alias("node_id"))
+    found = components(sides, edges.select((F.col("src") * 2 + 1).alias("src"), (F.col("dst") * 2).alias("dst")))
+    return found.select(F.floor(F.col("node_id") / 2).alias("node_id"), F.pmod("node_id", F.lit(2)).cast("int").alias("side"), "component")
+
+
+def spelled(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path_id, seq): what each path spells."""
+    letters = steps.join(nodes.select("node_id", "label"), "node_id").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("step", "label"))).alias("x"))
+    return letters.select("path_id", F.array_join(F.transform("x", lambda r: r["label"]), "").alias("seq"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component) of every node over undirected edges, named by the smallest node."""
     found = connected_components(edges.select("src", "dst"))

@@ -3,17 +3,26 @@
 No suffix array is built. Substrings of one length are counted by grouping; a match of length k is
 minimal if neither its prefix nor its suffix of length k - 1 has the same pair of counts, as counts
 only fall when a string grows. Lengths go up while some string still occurs on both sides more often
-than minimality allows to stop, so the loop ends by itself; substrings are named by pairs of ranks of
-their halves' ids, and so the shuffled keys stay two longs at any length.
+than minimality allows to stop, so the loop ends by itself. Two sets of up to ``ONE_GROUP`` bases are one
+bounded group, which an array kernel takes; larger ones are grouped by Spark, a length a round, under
+names of 128 bits made from the prefix's name and one more letter, so that keys do not grow with the match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plait.functions.sequence import anchor_weight
-from plait.runtime import shared_dir
+from plait.kernels.matches import minimal_rare
+from plait.runtime import shared_dir, ship
+
+#: Bases of both sides up to which they are one group.
+ONE_GROUP = 2_000_000
 
 
 def start_positions(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -28,12 +37,17 @@ def minimal_rare_matches(one: DataFrame, two: DataFrame, max_count: int, longest
     most ``max_count``, and no proper substring has the same counts. ``longest`` bounds the length; by
     default the loop runs until no string that is still too frequent occurs on both sides.
     """
-    shared_dir(one.sparkSession)
     both = one.withColumn("side", F.lit(1)).unionByName(two.withColumn("side", F.lit(2)))
-    at = both.select("side", "path_id", "step", "node_id", "label", F.col("label").alias("s"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("suffix")).checkpoint()
-    counts = lambda df: df.groupBy("s").agg(F.count_distinct(F.when(F.col("side") == 1, F.col("node_id"))).alias("c1"), F.count_distinct(F.when(F.col("side") == 2, F.col("node_id"))).alias("c2"))
+    if both.limit(ONE_GROUP + 1).count() <= ONE_GROUP:
+        return _in_one_group(both, max_count, longest)
+    shared_dir(one.sparkSession)
+    name = lambda *c: F.struct(F.xxhash64(*c).alias("x"), F.xxhash64(F.lit(1), *c).alias("y"))
+    none = F.lit(None).cast("struct<x:bigint,y:bigint>")
+    at = both.select("side", "path_id", "step", "node_id", "label", name(F.col("label")).alias("s"), none.alias("prefix"), none.alias("suffix")).checkpoint()
+    counts = lambda df: df.groupBy("s").agg(F.count_distinct(F.when(F.col("side") == 1, F.col("node_id"))).alias("c1"), F.count_distinct(F.when(F.col("side") == 2, F.col("node_id"))).alias("c2"), F.min(F.struct("side", "path_id", "step")).alias("place"))
     known = counts(at).where("c1 > 0 and c2 > 0").checkpoint()
-    found = known.where(F.col("c1") * F.col("c2") <= max_count).select("s", "c1", "c2")
+    rare = lambda df, k: df.where(F.col("c1") * F.col("c2") <= max_count).select("place", F.lit(k).alias("k"), "c1", "c2")
+    found = rare(known, 1)
     k = 1
     ahead = Window.partitionBy("side", "path_id").orderBy("step")
     while (longest is None or k < longest) and known.where("c1 * c2 > 1").limit(1).count():
@@ -41,19 +55,46 @@ def minimal_rare_matches(one: DataFrame, two: DataFrame, max_count: int, longest
         # a longer match starts with a string that is on both sides with more than one pair of places
         grown = at.select("side", "path_id", "step", "node_id", "label", F.col("s").alias("prefix"), F.lead("s").over(ahead).alias("suffix"), F.lead("step").over(ahead).alias("next"))
         open_ = known.where("c1 * c2 > 1").select(F.col("s").alias("prefix"))
-        grown = grown.where("suffix is not null and next = step + 1").withColumn("s", F.concat("prefix", F.substring("suffix", -1, 1)))
+        last = both.select("side", "path_id", (F.col("step") - (k - 1)).alias("step"), F.col("label").alias("last"))
+        grown = grown.where("suffix is not null and next = step + 1").join(last, ["side", "path_id", "step"]).withColumn("s", name(F.col("prefix.x"), F.col("prefix.y"), F.col("last")))
         at = grown.join(open_, "prefix", "left_semi").select("side", "path_id", "step", "node_id", "label", "s", "prefix", "suffix").checkpoint()
         now = counts(at).where("c1 > 0 and c2 > 0")
         halves = at.groupBy("s").agg(F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix"))
         seen = lambda a: known.select(F.col("s").alias(a), F.col("c1").alias(f"{a}1"), F.col("c2").alias(f"{a}2"))
         judged = now.join(halves, "s").join(seen("prefix"), "prefix", "left").join(seen("suffix"), "suffix", "left")
         same = lambda a: F.coalesce((F.col("c1") == F.col(f"{a}1")) & (F.col("c2") == F.col(f"{a}2")), F.lit(False))
-        judged = judged.select("s", "c1", "c2", (~same("prefix") & ~same("suffix")).alias("minimal")).checkpoint()
-        found = found.union(judged.where(F.col("minimal") & (F.col("c1") * F.col("c2") <= max_count)).select("s", "c1", "c2"))
+        judged = judged.select("s", "c1", "c2", "place", (~same("prefix") & ~same("suffix")).alias("minimal")).checkpoint()
+        found = found.union(rare(judged.where("minimal"), k))
         known = judged.select("s", "c1", "c2")
-        if not known.limit(1).count():
-            break
-    return found.select(F.col("s").alias("match"), F.col("c1").alias("count1"), F.col("c2").alias("count2"))
+    # the letters of one place of each match
+    letters = found.select("place.side", "place.path_id", F.col("place.step").alias("begin"), "k", "c1", "c2", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    letters = letters.withColumn("step", F.col("begin") + F.col("i")).join(both.select("side", "path_id", "step", "label"), ["side", "path_id", "step"])
+    spelled = letters.groupBy("side", "path_id", "begin", "k", "c1", "c2").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]), "").alias("match"))
+    return spelled.select("match", F.col("c1").alias("count1"), F.col("c2").alias("count2"))
+
+
+def _in_one_group(both: DataFrame, max_count: int, longest: int | None) -> DataFrame:
+    ship(both.sparkSession)
+    rows = both.select(F.col("side").cast("long").alias("side"), F.dense_rank().over(Window.partitionBy("side").orderBy("path_id")).cast("long").alias("path"), F.col("step").cast("long"), F.col("node_id").cast("long"), "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        side, path, step, node = (t.column(i).to_numpy() for i in range(4))
+        label = np.array(t.column(4).to_pylist())
+        by = np.lexsort((step, path, side))
+        side, path, step, node, label = side[by], path[by], step[by], node[by], label[by]
+        # a path's steps follow one another without gaps inside a run
+        new = np.concatenate(([True], (side[1:] != side[:-1]) | (path[1:] != path[:-1]) | (step[1:] != step[:-1] + 1)))
+        end = np.append(np.flatnonzero(new)[1:], len(new))[np.cumsum(new) - 1]
+        found = minimal_rare(side - 1, node, label, end - np.arange(len(new)), max_count, longest)
+        cols = (["".join(label[i : i + k]) for i, k, _, _ in found], [c for _, _, c, _ in found], [c for *_, c in found])
+        for at in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], ty) for c, ty in zip(cols, (pa.string(), pa.int64(), pa.int64()))], ["match", "count1", "count2"])
+
+    return rows.repartition(1).mapInArrow(run, "match string, count1 long, count2 long")
 
 
 def query_index(matches: DataFrame, function: int = 2, **scores) -> DataFrame:

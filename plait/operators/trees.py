@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plait import model
+from plait.runtime import shared_dir
 
 
 @dataclass
@@ -206,14 +207,18 @@ def compare(a: Tree, b: Tree) -> list[tuple[str, int, int, int]]:
     return sorted(rows)
 
 
-def ancestors(tree: DataFrame, most: int = 1000) -> DataFrame:
+def ancestors(tree: DataFrame) -> DataFrame:
     """(node_id, ancestor, edges, distance) closure of a tree table, each node its own ancestor at zero.
-    Doubles its reach every round, so a tree of depth d takes log2(d) joins."""
+    Doubles its reach every round, so a tree of depth d takes log2(d) joins; a cycle is an error."""
+    shared_dir(tree.sparkSession)
     one = tree.where("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("edges"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
     out = tree.select("node_id", F.col("node_id").alias("ancestor"), F.lit(0).alias("edges"), F.lit(0.0).alias("distance"))
-    reach, span = one.checkpoint(), 1
+    most, span = tree.count(), 1
+    reach = one.checkpoint()
     known = out.union(one).checkpoint()  # ways of at most ``span`` edges
-    while reach.limit(1).count() and span < most:
+    while reach.limit(1).count():
+        if span > most:
+            raise ValueError("the parents of a tree form a cycle")
         on = known.where("edges > 0").select(F.col("node_id").alias("ancestor"), F.col("ancestor").alias("up"), F.col("edges").alias("more"), F.col("distance").alias("far"))
         reach = reach.join(on, "ancestor").select("node_id", F.col("up").alias("ancestor"), (F.col("edges") + F.col("more")).alias("edges"), (F.col("distance") + F.col("far")).alias("distance")).where(F.col("edges") > span)
         known = known.union(reach).checkpoint()
@@ -229,9 +234,22 @@ def leaf_sets(tree: DataFrame, closure: DataFrame) -> DataFrame:
     return closure.join(leaves, "node_id", "left_semi").select("ancestor", F.col("node_id").alias("leaf"))
 
 
+#: Leaves of a salt of a node with many of them.
+PAIR_LEAVES = 2000
+
+
 def leaf_pair_distances(tree: DataFrame, closure: DataFrame) -> DataFrame:
-    """(a, b, distance) of all pairs of leaves, a < b, over their lowest common ancestor."""
+    """(a, b, distance) of all pairs of leaves, a < b, over their lowest common ancestor: a pair meets there
+    alone, where it comes up from different children. The leaves under the children of one node are dealt
+    over salts, so no node's pairs are one task's."""
     inner = tree.where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
-    up = closure.join(inner, "node_id", "left_anti").select("node_id", "ancestor", "edges", "distance")
-    a, b = up.select(F.col("node_id").alias("a"), "ancestor", F.col("edges").alias("ea"), F.col("distance").alias("da")), up.select(F.col("node_id").alias("b"), "ancestor", F.col("distance").alias("db"))
-    return a.join(b, "ancestor").where("a < b").groupBy("a", "b").agg(F.min_by(F.col("da") + F.col("db"), "ea").alias("distance"))
+    up = closure.join(inner, "node_id", "left_anti").select(F.col("node_id").alias("leaf"), F.col("ancestor").alias("via"), "distance")
+    parent = tree.where("parent_id is not null").select(F.col("node_id").alias("via"), F.col("parent_id").alias("at"), F.coalesce("distance", F.lit(0.0)).alias("more"))
+    up = up.join(parent, "via").select("leaf", "at", "via", (F.col("distance") + F.col("more")).alias("distance"))
+    shared_dir(tree.sparkSession)
+    up = up.checkpoint()
+    salts = up.groupBy("at").agg(F.ceil(F.count("*") / PAIR_LEAVES).alias("salts"))
+    up = up.join(salts, "at")
+    a = up.select(F.col("leaf").alias("a"), "at", F.col("via").alias("va"), F.col("distance").alias("da"), F.pmod(F.xxhash64("leaf"), F.col("salts")).alias("salt"))
+    b = up.select(F.col("leaf").alias("b"), "at", F.col("via").alias("vb"), F.col("distance").alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, ["at", "salt"]).where("a < b and va != vb").select("a", "b", (F.col("da") + F.col("db")).alias("distance"))

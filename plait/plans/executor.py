@@ -7,13 +7,13 @@ result is written under its digest, so that a restart aligns only what is missin
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plait.functions.sequence import names_digest
 from plait.parameters import Parameters
 from plait.plans import progressive
 from plait.runtime import ship
@@ -38,8 +38,7 @@ def run(jobs: DataFrame, parameters: Parameters = Parameters(), finished: DataFr
     its rows are part of the result."""
     ship(jobs.sparkSession)
     scoring = parameters.scoring()
-    key = F.udf(lambda s: digest([x["name"] for x in s]), "string")
-    todo = jobs.withColumn("digest", key("sequences"))
+    todo = jobs.withColumn("digest", names_digest(F.transform("sequences", lambda x: x["name"])))
     if finished is not None:
         todo = todo.join(finished.select("digest"), "digest", "left_anti")
 
@@ -58,5 +57,5 @@ def run(jobs: DataFrame, parameters: Parameters = Parameters(), finished: DataFr
 
 def info(results: DataFrame) -> DataFrame:
     """(digest, text): a line of JSON per subproblem."""
-    line = F.udf(lambda d, j, n, k: json.dumps({"subproblem": d, "job": j, "sequences": n, "nodes": k}), "string")
-    return results.select("digest", line("digest", "job", "names", F.size("labels")).alias("text"))
+    line = F.to_json(F.struct(F.col("digest").alias("subproblem"), "job", F.col("names").alias("sequences"), F.size("labels").alias("nodes")))
+    return results.select("digest", line.alias("text"))

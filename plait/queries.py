@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from plait import kernel_queries  # noqa: F401  registers its own
+    from plait import graph_queries, kernel_queries, table_queries  # noqa: F401  register their own
 
     return dict(_queries)
 
@@ -277,7 +277,7 @@ def dag_reachability(spark, d):
     flags = A.layered_steps(spark, d).select(F.col("flag").alias("path_id"), "node_id").distinct()
     w = Window.partitionBy("path_id").orderBy("node_id")
     steps = flags.select("path_id", (F.row_number().over(w) - 1).cast("long").alias("step"), "node_id")
-    return graph.reach(steps, g.edges, graph.layers(g.nodes, g.edges))
+    return graph.reach(steps, g.edges)
 
 
 @query(f"with {A.SQL_LAYERED}, r as (with recursive r(node_id, hops) as (select 0::bigint, 0 union select e.dst, r.hops + 1 from r join ledges e on e.src = r.node_id) select * from r) select node_id, min(hops)::int as hops from r group by 1")

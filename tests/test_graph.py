@@ -123,3 +123,32 @@ def test_extraction(spark):
     assert rows(G.target_reachability(g.edges, one(2)), "node_id", "hops") == [(0, 2), (1, 1), (2, 0), (5, 1)]
     sub = G.induced(g, spark.createDataFrame([(1,), (2,)], "node_id long"))
     assert rows(sub.edges, "src", "dst") == [(1, 2)]
+
+
+def test_kernels_equal_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    e = random_dag(rng, 16)
+    steps = [("p", k, v) for k, v in enumerate(sorted(rng.sample(range(16), 7)))] + [("q", k, v) for k, v in enumerate(sorted(rng.sample(range(16), 5)))]
+    g = make(spark, 16, e, steps)
+    one = spark.createDataFrame([(0,)], "node_id long")
+
+    def every():
+        return [
+            rows(G.layers(g.nodes, g.edges), "node_id", "layer"),
+            rows(G.minmax_distance(g.nodes, g.edges), "node_id", "min_distance", "max_distance"),
+            rows(G.count_walks(g.nodes, g.edges), "node_id", "walks"),
+            rows(G.reach(g.steps, g.edges), "node_id", "path_id", "last_step"),
+            rows(G.shortest_paths(g.edges, one), "node_id", "hops"),
+        ]
+
+    kernels = every()
+    monkeypatch.setattr(G, "ONE_GROUP", 0)
+    assert [sorted(x) for x in every()] == [sorted(x) for x in kernels]
+
+
+def test_long_walks(spark):
+    n = 3000
+    line = make(spark, n, [(i, i + 1) for i in range(n - 1)])
+    assert G.layers(line.nodes, line.edges).agg({"layer": "max"}).first()[0] == n - 1
+    walk = G.shortest_walk(line.edges, spark.createDataFrame([(5,)], "node_id long"), spark.createDataFrame([(1000,), (7,)], "node_id long"))
+    assert rows(walk, "step", "node_id") == [(0, 5), (1, 6), (2, 7)]

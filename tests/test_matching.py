@@ -33,6 +33,21 @@ def test_equals_brute_force(spark):
         assert got == brute(one, two, most)
 
 
+def test_rounds_equal_the_kernel(spark, monkeypatch):
+    rng = random.Random(3)
+    a = ["".join(rng.choice("ACG") for _ in range(14)) for _ in range(2)]
+    b = [a[0][:6] + "T" + a[1][5:12]]
+    # two places of one node count once
+    one = table(spark, a).selectExpr("path_id", "step", "if(step < 3, step, node_id) as node_id", "label")
+    two = table(spark, b)
+    for longest in (None, 3):
+        kernel = sorted(tuple(r) for r in M.minimal_rare_matches(one, two, 4, longest).collect())
+        with monkeypatch.context() as m:
+            m.setattr(M, "ONE_GROUP", 0)
+            assert sorted(tuple(r) for r in M.minimal_rare_matches(one, two, 4, longest).collect()) == kernel and kernel
+    assert M.minimal_rare_matches(one.limit(0), two, 4).count() == 0
+
+
 def test_walks_and_weights(spark):
     t = table(spark, ["ACACG"])
     m = spark.createDataFrame([("AC", 2, 1), ("G", 1, 1)], "match string, count1 long, count2 long")

@@ -138,3 +138,31 @@ def test_progressive():
     aln, anchors, _ = progressive.pairwise(root, root)
     assert K.cigar(aln, root, root) == "30=" and anchors == 1
     assert progressive.align({}).labels == []
+
+
+def test_deep_tree(spark):
+    n = 1300  # deeper than a thousand
+    rows = [(i, i - 1 if i else None, 0, f"n{i}", 1.0) for i in range(n)]
+    closure = trees.ancestors(spark.createDataFrame(rows, "node_id long, parent_id long, ord int, label string, distance double"))
+    assert closure.count() == n * (n + 1) // 2
+    assert closure.agg({"edges": "max", "distance": "max"}).first()[:2] == (n - 1, n - 1.0)
+    with pytest.raises(ValueError):
+        trees.ancestors(spark.createDataFrame([(0, 1), (1, 0)], "node_id long, parent_id long").selectExpr("*", "1.0d as distance"))
+
+
+def test_pairs_of_leaves(spark):
+    import random
+
+    rng = random.Random(2)
+    t = trees.Tree()
+    t.add(None, "0")
+    for i in range(1, 60):
+        t.add(rng.randrange(i), str(i), float(rng.randrange(1, 9)))
+    table = t.to_table(spark)
+    old, trees.PAIR_LEAVES = trees.PAIR_LEAVES, 5
+    try:
+        got = sorted(tuple(r) for r in trees.leaf_pair_distances(table, trees.ancestors(table)).select("a", "b", "distance").collect())
+    finally:
+        trees.PAIR_LEAVES = old
+    leaves = sorted(t.leaves())
+    assert got == [(a, b, t.pair_distance(a, b)) for a in leaves for b in leaves if a < b]
