@@ -1,8 +1,8 @@
 """Progressive alignment of a bounded set of sequences along a guide tree.
 
-Each node of the tree joins two graphs: anchors on shared unique strings are chained, the gaps between
-them aligned by the kernel that fits, and the graphs fused along the alignment. Subtrees go smallest
-first; different groups of sequences are different tasks.
+Each node of the tree joins two graphs: matches between their paths are chained over reachability, what
+lies between aligned by the kernel that fits, and the graphs fused along the alignment. Subtrees go
+smallest first; different groups of sequences are different tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from plait.kernels import align as K
 from plait.kernels import chain as C
 from plait.operators.trees import Tree, in_order
+from plait.plans import anchored
 from plait.sources import newick
 
 
@@ -38,6 +39,9 @@ class PathDag:
                 succ[at[a]].append(at[b])
         return K.Dag([self.labels[v] for v in nodes], succ), nodes
 
+    def side(self) -> anchored.Side:
+        return anchored.Side(self.labels, self.edges, self.paths)
+
     def spelled(self, name: str) -> str:
         return "".join(self.labels[v] for v in self.paths[name])
 
@@ -96,7 +100,7 @@ def pairwise(a: str, b: str, k: int = 6, scoring: K.Scoring = K.Scoring(), opens
     return out, len(chain), score
 
 
-def align(sequences: dict[str, str], tree: Tree | None = None, scoring: K.Scoring = K.Scoring()) -> PathDag:
+def align(sequences: dict[str, str], tree: Tree | None = None, scoring: K.Scoring = K.Scoring(), how: anchored.Anchoring = anchored.Anchoring()) -> PathDag:
     """The graph of all sequences, joined along ``tree`` (in order by default)."""
     if not sequences:
         return PathDag()
@@ -108,7 +112,6 @@ def align(sequences: dict[str, str], tree: Tree | None = None, scoring: K.Scorin
             at[n] = PathDag.leaf(tree.label[n], sequences[tree.label[n]])
             continue
         a, b = (at.pop(c) for c in tree.children[n])
-        (g, m1), (h, m2) = a.dag(), b.dag()
-        _, aligned = K.align_gap(g, h, scoring) if len(g) and len(h) else ("", [])
-        at[n] = fuse(a, b, K.translated(aligned, m1, m2))
+        aligned, _ = anchored.align(a.side(), b.side(), scoring, how) if a.labels and b.labels else ([], 0.0)
+        at[n] = fuse(a, b, aligned)
     return at[tree.root]
