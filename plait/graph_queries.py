@@ -176,3 +176,55 @@ def graph_is_acyclic(spark, d):
     g = A.layered_graph(spark, d)
     back = g.edges.agg(F.max("dst").alias("src"), F.min("src").alias("dst"))
     return spark.createDataFrame([(graph.is_acyclic(g.nodes, g.edges), graph.is_acyclic(g.nodes, g.edges.union(back)))], "acyclic boolean, closed boolean")
+
+
+def _bonds(spark, d) -> tuple:
+    """The leaf graph of event sequences, and a bond of its first three bases with the next three on each."""
+    from plait.operators.bonds import BOND
+
+    s = A.event_sequences(spark, d)
+    g = graph.leaf_graph(s)
+    at = s.where("length(seq) >= 8").select(F.col("name").alias("bond_id"), F.col("name").alias("path_id"), F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.lit(a).alias("offset1"), F.lit(b).alias("offset2"), F.lit(n).alias("length")) for k, (a, b, n) in enumerate([(0, 4, 2), (3, 6, 1)])))).alias("x"))
+    at = at.select("bond_id", "path_id", "x.*").select(*(F.col(c.split()[0]).cast("long" if c.split()[0] == "path_id" else c.split()[1]) for c in BOND.split(", ")))
+    return g, at, s.select(F.col("name").alias("path_id"), F.length("seq").cast("long").alias("n"))
+
+
+@query(f"""with {A.SQL_EVENT_SEQS} select name as path_id, (length(seq) - case when length(seq) >= 8 then (substr(seq, 1, 1) = substr(seq, 5, 1))::int + (substr(seq, 2, 1) = substr(seq, 6, 1))::int + (substr(seq, 4, 1) = substr(seq, 7, 1))::int else 0 end)::bigint as nodes from eseqs""")
+def bonds_applied(spark, d):
+    """Nodes of each path after its bonds have merged those of equal label."""
+    from plait.operators import bonds
+
+    g, b, _ = _bonds(spark, d)
+    return bonds.applied(g, b).steps.groupBy("path_id").agg(F.count_distinct("node_id").alias("nodes"))
+
+
+@query(f"""with {A.SQL_EVENT_SEQS} select name as bond_id, '4I2M1D1M' || case when length(seq) > 4 then (length(seq) - 4) || 'D' else '' end || case when length(seq) > 7 then (length(seq) - 7) || 'I' else '' end as cigar from eseqs where length(seq) >= 8""")
+def bond_cigars(spark, d):
+    """Bonds written, read again, and padded to alignments of their path with itself."""
+    from plait.operators import bonds
+    from plait.runtime import shared_dir, unique
+
+    _, b, n = _bonds(spark, d)
+    path = f"{shared_dir(spark).rstrip('/')}/plait/bonds-{unique()}"
+    bonds.write(b, path)
+    return bonds.cigars(bonds.read(spark, path), n)
+
+
+@query(f"""with {A.SQL_LAYERED}, v as (select a.path_id, m.node_id, n.label from lsteps a join lsteps b on b.path_id = a.path_id and b.step = 3 and b.node_id % 2 = 0 join lsteps m on m.path_id = a.path_id and m.step = 2 join lnodes n on n.node_id = m.node_id where a.step = 1 and a.node_id % 2 = 0),
+  w as (select v.path_id, (select x.node_id from v x join lsteps xa on xa.path_id = x.path_id and xa.step = 1 join lsteps xb on xb.path_id = x.path_id and xb.step = 3 where x.label = v.label and xa.node_id = a.node_id and xb.node_id = b.node_id order by x.path_id limit 1) as new
+    from v join lsteps a on a.path_id = v.path_id and a.step = 1 join lsteps b on b.path_id = v.path_id and b.step = 3)
+  select s.path_id, s.step::bigint as step, case when s.step = 2 and w.new is not null then w.new else s.node_id end as node_id from lsteps s left join w on w.path_id = s.path_id""")
+def bubbles_simplified(spark, d):
+    """Walks of one spelling between even nodes of the second and the fourth layer are the first of them."""
+    from plait.operators import bonds
+
+    g = A.layered_graph(spark, d)
+    even = lambda k, c: g.nodes.where(f"node_id div {A.LANES} = {k} and node_id % 2 = 0").select(F.col("node_id").alias(c))
+    return bonds.without_equal_alleles(g, even(1, "start").join(even(3, "end"))).steps
+
+
+@query(f"with {A.SQL_LAYERED} select n.node_id, n.node_id || ':' || n.label || ' -> ' || coalesce((select string_agg(e.dst, ',' order by e.dst) from ledges e where e.src = n.node_id), '') as text from lnodes n")
+def graph_lines(spark, d):
+    from plait.operators import bonds
+
+    return bonds.shown(A.layered_graph(spark, d))

@@ -17,7 +17,7 @@ from plait.kernels import structure as T
 from plait.operators import graph, matching
 from plait.plans import progressive
 from plait.queries import query
-from plait.runtime import ship, table
+from plait.runtime import shared_dir, ship, table, unique
 
 
 @query()
@@ -173,7 +173,11 @@ def minimal_rare_matches(spark, d):
     return matching.minimal_rare_matches(rows.where("path_id % 2 = 0"), rows.where("path_id % 2 = 1"), 6)
 
 
-@query()
+@query("""with s as (select l_partkey as set_id, round(sum(l_quantity), 2) as weight, (count(*) * count(distinct l_suppkey))::bigint as pairs from lineitem group by 1),
+  o as (select *, row_number() over (order by weight desc, pairs, set_id) as k from s),
+  r as (with recursive r(k, rest, set_id, took) as (select 0::bigint, 5000::bigint, null::bigint, false union all
+    select o.k, case when o.pairs <= r.rest then r.rest - o.pairs else r.rest end, o.set_id, o.pairs <= r.rest from r join o on o.k = r.k + 1) select * from r)
+  select o.set_id, o.weight, o.pairs from o join r on r.set_id = o.set_id where r.took""")
 def match_budget_topk(spark, d):
     """Match sets in order of weight as long as their pairs fit a budget."""
     ship(spark)
@@ -229,6 +233,54 @@ def edge_connectivity(spark, d):
     return e.groupBy("all").applyInPandas(run, "nation long, two long, three long, at_bridge boolean")
 
 
+_LINKS = "e as (select distinct least(a, b)::bigint as a, greatest(a, b)::bigint as b from (select n_nationkey as a, 100 + n_regionkey as b from nation where n_nationkey % 4 <> 1 union all select n_nationkey, n_nationkey * 7 % 25 from nation where n_nationkey % 3 = 1) where a <> b), n as (select a as x from e union select b from e)"
+
+
+def _links(spark, d, kernel, schema: str) -> DataFrame:
+    """``kernel(names, edges)`` over a small graph of nations and regions, in one task."""
+    ship(spark)
+    n = table(spark, d, "nation")
+    key, region = F.col("n_nationkey").cast("long"), (F.lit(100) + F.col("n_regionkey")).cast("long")
+    e = n.where("n_nationkey % 4 != 1").select(key.alias("a"), region.alias("b")).union(n.where("n_nationkey % 3 = 1").select(key, (F.col("n_nationkey") * 7 % 25).cast("long")))
+    e = e.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("all", F.lit(1))
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:  # two edges a nation, at most
+        names = sorted({*rows["a"], *rows["b"]})
+        at = {v: i for i, v in enumerate(names)}
+        return pd.DataFrame(kernel(names, [(at[a], at[b]) for a, b in sorted(zip(rows["a"], rows["b"]))]), columns=columns)
+
+    return e.groupBy("all").applyInPandas(run, schema)
+
+
+_CUT = f"""{_LINKS}, met as (with recursive r(a, b, x) as (select a, b, a from e union select r.a, r.b, case when f.a = r.x then f.b else f.a end from r join e f on (f.a = r.x or f.b = r.x) and not (f.a = r.a and f.b = r.b)) select * from r),
+  cut as (select a, b from e where not exists (select 1 from met where met.a = e.a and met.b = e.b and met.x = e.b))"""
+
+
+@query(f"with {_CUT} select a, b from cut")
+def nation_bridges(spark, d):
+    """Edges without which their ends are apart."""
+    return _links(spark, d, lambda names, edges: [(names[edges[i][0]], names[edges[i][1]]) for i in T.bridges(len(names), edges)], "a long, b long")
+
+
+@query(f"with {_CUT}, k as (select a, b from e except select a, b from cut), r as (with recursive r(n, m) as (select x, x from n union select case when k.a = r.n then k.b else k.a end, r.m from r join k on k.a = r.n or k.b = r.n) select * from r) select n as node_id, min(m) as component from r group by 1")
+def nation_bridge_components(spark, d):
+    """Two-edge-connected components."""
+    return _links(spark, d, lambda names, edges: [(names[i], names[c]) for i, c in enumerate(T.two_edge_components(len(names), edges))], "node_id long, component long")
+
+
+_APART = f"""{_LINKS}, two as (select x.a as a1, x.b as b1, y.a as a2, y.b as b2 from e x join e y on (x.a, x.b) <= (y.a, y.b)),
+  met as (with recursive r(a1, b1, a2, b2, s, x) as (select two.*, n.x, n.x from two, n union select r.a1, r.b1, r.a2, r.b2, r.s, case when f.a = r.x then f.b else f.a end
+    from r join e f on (f.a = r.x or f.b = r.x) and not (f.a = r.a1 and f.b = r.b1) and not (f.a = r.a2 and f.b = r.b2)) select * from r),
+  k as (select s, x from met group by s, x having count(*) = (select count(*) from two))"""
+
+
+@query(f"with {_APART} select s as node_id, min(x) as component from k group by 1")
+def nation_three_edge_components(spark, d):
+    """Nodes that no cut of one or two edges parts."""
+    return _links(spark, d, lambda names, edges: [(names[i], names[c]) for i, c in enumerate(T.three_edge_components(len(names), edges))], "node_id long, component long")
+
+
 @query()
 def msa_progressive(spark, d):
     """Event sequences of each ten users, joined into one graph along an in-order tree."""
@@ -359,11 +411,13 @@ def suffix_arrays(spark, d):
 
 @query(f"with {A.SQL_EVENT_SEQS} select (name // 10)::varchar as job, count(*)::int as sequences, sum(length(seq))::bigint as bases from eseqs group by 1")
 def executor_run(spark, d):
-    """The executor over jobs of ten users, once more with half of the results finished."""
+    """The executor over jobs of ten users, every other one first, and then a restart with all."""
     from plait.plans import executor
 
     jobs = executor.jobs_of(A.event_sequences(spark, d).select(F.expr("name div 10").alias("job"), F.col("name").cast("string").alias("name"), "seq"))
-    done = executor.run(jobs)
+    path = f"{shared_dir(spark).rstrip('/')}/plait/subproblems-{unique()}"
+    executor.run_to(jobs.where("job % 2 = 0"), path)
+    done = executor.run_to(jobs, path)
     return done.select("job", F.size("names").alias("sequences"), F.aggregate("paths", F.lit(0).cast("long"), lambda a, p: a + F.size(p)).alias("bases"))
 
 

@@ -1,7 +1,8 @@
 """A run from sequences and a tree to a graph, one Spark task per group, restartable by table.
 
 A job is a set of sequences with its own tree. Jobs are rows; each is aligned in one task, and its
-result is written under its digest, so that a restart aligns only what is missing.
+result bears its digest. :func:`run_to` writes results to a table, so that a restart aligns only what is
+missing there.
 """
 
 from __future__ import annotations
@@ -33,12 +34,16 @@ def jobs_of(sequences: DataFrame, trees: DataFrame | None = None) -> DataFrame:
     return rows.join(trees, "job", "left") if trees is not None else rows.withColumn("newick", F.lit(None).cast("string"))
 
 
-def run(jobs: DataFrame, parameters: Parameters = Parameters(), finished: DataFrame | None = None) -> DataFrame:
+def _named(jobs: DataFrame) -> DataFrame:
+    return jobs.withColumn("digest", names_digest(F.transform("sequences", lambda x: x["name"])))
+
+
+def run(jobs: DataFrame, parameters: Parameters = Parameters(), finished: DataFrame | None = None, again: bool = True) -> DataFrame:
     """Results of jobs (job, sequences, newick). Jobs whose digest stands in ``finished`` are not run again;
-    its rows are part of the result."""
+    if ``again``, its rows are part of the result."""
     ship(jobs.sparkSession)
     scoring = parameters.scoring()
-    todo = jobs.withColumn("digest", names_digest(F.transform("sequences", lambda x: x["name"])))
+    todo = _named(jobs)
     if finished is not None:
         todo = todo.join(finished.select("digest"), "digest", "left_anti")
 
@@ -52,7 +57,18 @@ def run(jobs: DataFrame, parameters: Parameters = Parameters(), finished: DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, types)], ["digest", "job", "names", "labels", "src", "dst", "paths"])
 
     done = todo.select("digest", F.col("job").cast("string"), "sequences", "newick").mapInArrow(align, RESULT)
-    return done if finished is None else finished.unionByName(done)
+    return finished.unionByName(done) if finished is not None and again else done
+
+
+def run_to(jobs: DataFrame, path: str, parameters: Parameters = Parameters()) -> DataFrame:
+    """The results of jobs, from a table at ``path`` that bears those of earlier runs: what is missing there is
+    aligned and added."""
+    spark = jobs.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    old = spark.read.schema(RESULT).parquet(path) if there else None
+    run(jobs, parameters, old, again=False).write.mode("append").parquet(path)
+    return spark.read.schema(RESULT).parquet(path).join(_named(jobs).select("digest"), "digest", "left_semi").select(*[c.split()[0] for c in RESULT.split(", ")])
 
 
 def info(results: DataFrame) -> DataFrame:

@@ -134,3 +134,20 @@ atexit.register(lambda: (_drop(_written, 0), _drop(_stages, 0)))
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def memory() -> dict[str, int]:
+    """Bytes that this process holds now and has held at most."""
+    import resource
+
+    now = 0
+    with open("/proc/self/statm") as f:
+        now = int(f.read().split()[1]) * resource.getpagesize()
+    return {"now": now, "most": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024}
+
+
+def log(message: str, level: str = "info") -> None:
+    """A line of the run's log, with the memory of the driver."""
+    import logging
+
+    getattr(logging.getLogger("plait"), level)("%s (%.0f MB)", message, memory()["now"] / 1e6)

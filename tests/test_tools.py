@@ -125,3 +125,15 @@ def test_executor(spark):
     kept = got.where("job = 'j1'").cache()
     again = executor.run(jobs, Parameters(), kept)
     assert sorted(r.job for r in again.collect()) == ["j1", "j2"] and executor.info(again).count() == 2
+
+
+def test_restart_from_a_table(spark, tmp_path):
+    from plait.plans import executor
+
+    rows = [(f"j{i}", f"s{i}{k}", "ACGTACGT"[k:]) for i in range(3) for k in range(2)]
+    jobs = executor.jobs_of(spark.createDataFrame(rows, "job string, name string, seq string"))
+    path = str(tmp_path / "results")
+    assert [r.job for r in executor.run_to(jobs.where("job = 'j1'"), path).collect()] == ["j1"]
+    assert sorted(r.job for r in executor.run_to(jobs, path).collect()) == ["j0", "j1", "j2"]
+    assert spark.read.parquet(path).count() == 3  # the first was not run again
+    assert {r.digest for r in executor.run_to(jobs, path).collect()} == {executor.digest([f"s{i}0", f"s{i}1"]) for i in range(3)}
