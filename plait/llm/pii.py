@@ -11,7 +11,8 @@ from left to right without overlap, failing matches dropped and not retried:
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
 The method adds three kinds: ``url`` (a scheme with its host and path), ``account`` (a number after a
-cue, or an IBAN whose check digits hold) and ``secret`` (a value assigned to a credential's name).
+cue, or an IBAN of its country's length whose check digits hold, with or without a cue) and ``secret`` (a
+value assigned to a credential's name). An account ends before the first group without a digit.
 Every parser reads each character a bounded number of times, so long texts cost linear time.
 """
 
@@ -41,8 +42,17 @@ _DOTTED = re.compile(r"[0-9]+|\.+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"[\x20().0-9-]+")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_ACCOUNT = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#))?[ \t]*[:=#]?[ \t]*([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
+_ACCOUNT = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#))?[ \t]*[:=#]?[ \t]*([A-Z]{0,2}[0-9][A-Z0-9]*(?:[ -](?=[A-Z]*[0-9])[A-Z0-9]+)*)(?![A-Za-z0-9])")
+_CUE_END = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#))?[ \t]*[:=#]?[ \t]*")
+# fixed values: the length of an IBAN by country
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24,
+    "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Digits and characters of an account number after a cue.
+ACCOUNT_DIGITS, ACCOUNT_LENGTH = 5, (6, 36)
 _SECRET = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_\-+/=.]{8,})")
 
 
@@ -57,6 +67,9 @@ def anchors():
         for e in "0123456789":
             for sep in ("", " ", "-"):
                 found[f"{d}{sep}{e}"] = "card"
+    for country in IBAN_LENGTHS:
+        for d in "0123456789":
+            found[country + d] = "iban"
     for kind, cues in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
             for form in {cue, cue.upper(), cue.capitalize()}:
@@ -83,6 +96,33 @@ def iban_holds(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """Where a valid IBAN that begins at ``at`` ends; single spaces may stand between its characters."""
+    n, left, code = len(text), IBAN_LENGTHS.get(text[at : at + 2], 0), []
+    i = at
+    while left and i < n:
+        c = text[i]
+        if "0" <= c <= "9" or "A" <= c <= "Z":
+            code.append(c)
+            left -= 1
+        elif c != " " or not code or text[i - 1] == " ":
+            return None
+        i += 1
+    if left or not code or i < n and text[i].isalnum() or not "".join(code[2:4]).isdigit():
+        return None
+    return i if iban_holds("".join(code)) else None
+
+
+def _account_end(text: str, start: int, end: int) -> int | None:
+    """Where an account number that its pattern found ends: whole groups up to the greatest length."""
+    while end - start > ACCOUNT_LENGTH[1]:
+        cut = max(text.rfind(" ", start, end), text.rfind("-", start, end))
+        if cut < 0:
+            return None
+        end = cut
+    return end if end - start >= ACCOUNT_LENGTH[0] and sum("0" <= c <= "9" for c in text[start:end]) >= ACCOUNT_DIGITS else None
+
+
 def _region(text: str, at: int, chars: str) -> tuple[int, int]:
     """The maximal run of ``chars`` around ``at``."""
     s = e = at
@@ -116,7 +156,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not text:
         return found
-    done = dict.fromkeys(("email", "ip", "card", "phone", "url", "account", "secret"), 0)
+    done = dict.fromkeys(KINDS, 0)
     for last, (kind, size) in anchors().iter(text):
         at = last - size + 1
         if kind == "card":
@@ -154,14 +194,23 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 if body and (body[0].isalnum() or body[0] == "["):
                     found["url"].append((at, last + 1 + len(body)))
                     done["url"] = last + 1 + len(body)
+        elif kind == "iban":
+            if at >= done["account"] and not (at and text[at - 1].isalnum()) and (e := iban_end(text, at)):
+                found["account"].append((at, e))
+                done["account"] = e
         elif at >= done[kind] and not (at and text[at - 1].isalnum()):
-            m = (_ACCOUNT if kind == "account" else _SECRET).match(text, last + 1)
-            if m and sum(c.isdigit() for c in m[1]) >= (5 if kind == "account" else 1):
-                found[kind].append(m.span(1))
-                done[kind] = m.end(1)
-            elif kind == "account" and (m := _IBAN.match(text, last + 1 + (text[last + 1 : last + 2] in (" ", ":")))) and iban_holds(m[0].replace(" ", "")):
-                found[kind].append(m.span())
-                done[kind] = m.end()
+            if kind == "secret":
+                m = _SECRET.match(text, last + 1)
+                span = m.span(1) if m and any("0" <= c <= "9" for c in m[1]) else None
+            else:
+                s = _CUE_END.match(text, last + 1).end()
+                e = iban_end(text, s)
+                if e is None and (m := _ACCOUNT.match(text, last + 1)):
+                    s, e = m.start(1), _account_end(text, *m.span(1))
+                span = (s, e) if e else None
+            if span:
+                found[kind].append(span)
+                done[kind] = span[1]
     return found
 
 

@@ -48,8 +48,17 @@ def test_planted():
     assert "@" not in r and "4111" not in r and "[EMAIL]" in r and r.endswith('token = "[SECRET]"')
 
 
+def test_ends_of_accounts():
+    cut = lambda t: [t[s:e] for s, e in pii.find(t)["account"]]
+    assert cut("IBAN DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert cut("pay to GB82 WEST 1234 5698 7654 32, thanks") == ["GB82 WEST 1234 5698 7654 32"]
+    assert cut("DE89370400440532013001 xDE89370400440532013000 DE893704004405320130001") == []
+    assert cut("account number: 1234-5678 AB12 Tuesday") == ["1234-5678 AB12"] and cut("Account 1234") == []
+    assert cut("account 12345678 was closed") == ["12345678"] and cut("accounts 12345678") == []
+
+
 def test_linear_on_long_runs():
-    for t in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" * 100_000, "1-" * 100_000, "@" * 100_000, "account " * 50_000):
+    for t in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" * 100_000, "1-" * 100_000, "@" * 100_000, "account " * 50_000, "account" + " 1A" * 60_000, "DE8" * 70_000, "account: " + "1" * 200_000 + "a"):
         pii.find(t)
 
 
