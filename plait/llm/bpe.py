@@ -7,7 +7,10 @@ pair has a rank. Words are short, so scanning a small contiguous array beats a h
 
 The vocabulary file decides the rest: special tokens are cut from the raw text, the text between is
 NFC-normalised, white-space runs become one space, letters are lower-cased, words are split by a
-pattern, their bytes are written as letters of the byte alphabet, and the last one bears ``</w>``.
+pattern, their bytes are written as letters of the byte alphabet, and the last one bears ``</w>``. A file
+that asks for other steps is refused. Which characters are letters, and what they are in lower case,
+depends on the Unicode version: texts with characters outside blocks that have been full for long are
+normalised and split into words by the library's own steps, read from the file.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,6 +32,10 @@ LONG = 64
 #: Words whose encoding a worker remembers; the memory is dropped when full.
 REMEMBERED = 150_000
 NONE = 1 << 60
+# fixed values: blocks whose letters, numbers and cases no later Unicode version has changed
+_LATE = re.compile("[^\u0000-\u024f\u0400-\u04ff\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]")
+# fixed values: the steps before the merges that are built here
+_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 def byte_alphabet() -> list[str]:
@@ -42,12 +50,19 @@ class WordBpe:
 
     def __init__(self, path: str) -> None:
         import regex
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         if model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
             raise ValueError("this vocabulary uses BPE options that are not supported")
+        normalizer, splits = spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"]
+        split = splits[0]
+        if normalizer.get("normalizers") != _STEPS or [p["type"] for p in splits] != ["Split", "ByteLevel"] or split["behavior"] != "Removed" or not split["invert"] or splits[1]["add_prefix_space"] or splits[1]["use_regex"]:
+            raise ValueError("this vocabulary asks for steps that are not supported")
+        self.library_normal = Tokenizer.from_file(path).normalizer.normalize_str
+        self.library_words = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), behavior="removed", invert=True).pre_tokenize_str
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -59,7 +74,6 @@ class WordBpe:
         letters = byte_alphabet()
         self.inner = [self.vocab[c] for c in letters]
         self.final = [self.vocab[c + self.end] for c in letters]
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # white space as the library's pattern engine has it: Unicode's White_Space
         self.words = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -133,6 +147,12 @@ class WordBpe:
             return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
         return text.lower()
 
+    def words_of(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if _LATE.search(text):
+            return [w for w, _ in self.library_words(self.library_normal(text))]
+        return self.words.findall(self.normal(text))
+
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
         if self.cut is None or "<|" not in text and not any(s in text for s in self.special):
             yield text, False
@@ -149,7 +169,7 @@ class WordBpe:
             if special:
                 got = [(1, str(self.special[part]).encode(), part.encode())]
             else:
-                got = [known.get(w) or entry(w) for w in self.words.findall(self.normal(part))]
+                got = [known.get(w) or entry(w) for w in self.words_of(part)]
             if got:
                 counts, a, b = zip(*got)
                 n += sum(counts)
@@ -164,7 +184,7 @@ class WordBpe:
             if special:
                 out.append(self.special[part])
             else:
-                for w in self.words.findall(self.normal(part)):
+                for w in self.words_of(part):
                     out += self.encode_word(w)
         return out
 

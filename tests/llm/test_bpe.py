@@ -54,3 +54,24 @@ def test_query_rows(spark, edge_docs):
     assert [r for r in got if r.doc_id == 0][0][1:] == (0, empty, empty)
     assert bpe.encode_digests(edge_docs.limit(0), PATH).count() == 0
     assert bpe.encoded(edge_docs, PATH).where("doc_id = 4").first().decoded == "a</w>"
+
+
+def test_letters_of_any_block(library):
+    own = bpe.load(PATH)
+    rng = random.Random(3)
+    blocks = [range(0x250, 0x400), range(0x400, 0x600), range(0x600, 0x1100), range(0x1100, 0x3000), range(0x3000, 0xD7FF), range(0xE000, 0x10000), range(0x10000, 0x20000)]
+    texts = ["".join(chr(rng.choice(rng.choice(blocks))) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    texts += ["a" + c + "b!" + c + "!" + c + "1" for c in "ᲉꟋꟚ՘აᲐ\U00016EA0"]
+    for t in texts:
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_other_steps_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.WordBpe(str(tmp_path / "other.json"))
