@@ -1,17 +1,20 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, turns look-alike letters of other scripts into Latin ones and digits or signs
-that stand for letters into these, so that disguised words meet their plain entries. The lexicon is
-learned from labelled documents: words and stems (beginnings of words, written ``stem*``) whose share of toxic documents is far above that of others,
-in many different contexts (words of one copied text have few). Its weights are log odds. Phrases of
-a lexicon word and a neighbour that stand in unlabelled-toxic text are exceptions and cancel the
-match. The weight found, with and without division by the text's length, goes into a logistic model.
+Folding lower-cases, takes accents off, turns full-width, mathematical and look-alike letters into plain
+Latin ones and digits or signs that stand for letters into these, and joins letters that are set apart,
+so that disguised words meet their plain entries. The lexicon is learned from labelled documents: words
+and stems (beginnings of words, written ``stem*``) whose share of toxic documents is far above that of
+others, in many different contexts (words of one copied text have few). Its weights are log odds.
+Phrases of a lexicon word and a neighbour that stand in text not labelled toxic are exceptions and cancel
+the match. The weight found, with and without division by the text's length, goes into a logistic model.
+All entries and phrases that the sample of labelled documents supports are kept.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +28,6 @@ from plait.runtime import lean, materialise, ship
 
 #: Labelled documents that the lexicon and the model are fitted on, at most (smallest hashes first).
 SAMPLE = 20_000
-#: Entries and exception phrases of a lexicon, at most.
-ENTRIES, PHRASES = 2000, 2000
 LEAST_DOCS, LEAST_ODDS, LEAST_Z = 5, 2.0, 5.0
 #: Different neighbours on either side that a frequent entry has at least; a rarer one, half its documents.
 LEAST_CONTEXTS = 20
@@ -39,19 +40,22 @@ LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "х": "x",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
-# fixed values: digits and signs that stand for letters where a letter follows
+# fixed values: digits and signs that stand for letters where a letter follows, and digits at a word's end
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
-_TABLE = str.maketrans(LOOKALIKES)
-_SUBSTITUTED = re.compile(r"[0134578@$!|]+(?=[^\W\d_])")
+#: Combining marks and characters without width go.
+_TABLE = str.maketrans(LOOKALIKES) | dict.fromkeys((*range(0x300, 0x370), 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
+_SUBSTITUTED = re.compile(r"[0134578@$!|]+(?=[^\W\d_])|(?<=[^\W\d_])[013457]{1,3}(?![\w@$])")
 _SUB_TABLE = str.maketrans(SUBSTITUTES)
+_APART = re.compile(r"(?<![^\W_])[^\W\d_]([ .*_-])(?:[^\W\d_]\1){2,}[^\W\d_](?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
-        text = "".join(c for c in text.translate(_TABLE) if c not in "­​‌‍⁠")
-    return _SUBSTITUTED.sub(lambda m: m[0].translate(_SUB_TABLE), text)
+        text = unicodedata.normalize("NFKD", text).translate(_TABLE).lower()
+    text = _SUBSTITUTED.sub(lambda m: m[0].translate(_SUB_TABLE), text)
+    return _APART.sub(lambda m: m[0].replace(m[1], ""), text)
 
 
 def forms(word: str) -> list[str]:
@@ -186,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     pooled = (F.col("tox") + F.col("clean") + 1.0) / (n1 + n0 + 2.0)
     z = (F.col("tox") / float(n1) - F.col("clean") / float(n0)) / F.sqrt(pooled * (1 - pooled) * (1.0 / n1 + 1.0 / n0))
     good = counts.select("word", "tox", odds.alias("odds"), z.alias("z")).where((F.col("tox") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z))
-    entries = {r.word: (r.tox, r.odds) for r in good.orderBy(F.desc("z"), "word").limit(ENTRIES).collect()}
+    entries = {r.word: (r.tox, r.odds) for r in good.collect()}  # words of SAMPLE documents, at most
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     pair = F.explode(F.array(F.when(F.col("before") != "", F.concat_ws(" ", "before", "word")), F.when(F.col("after") != "", F.concat_ws(" ", "word", "after"))))
     pairs = around.where(F.col("word").isin([w for w in weights if "*" not in w])).select("toxic", pair.alias("phrase")).where("phrase is not null")
     safe = pairs.groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("c"), F.sum("toxic").alias("t")).where("c >= 3 and t = 0")
-    phrases = {r.phrase for r in safe.orderBy(F.desc("c"), "phrase").limit(PHRASES).collect()} if weights else set()
+    phrases = {r.phrase for r in safe.collect()} if weights else set()
     lexicon = Lexicon(weights, phrases)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +228,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, cut: float = CUT, text: str = "tex
     """``(doc_id, held_out, score, predicted)`` of every whole text, one row per input row. A null or
     empty text scores as one without lexicon words. Rows with a null id are not held out."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # ENTRIES words and PHRASES phrases at most
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # words and phrases of SAMPLE documents, at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 
@@ -29,6 +31,37 @@ def corpus(spark, n=900, seed=3):
 
 def test_fold():
     assert toxicity.fold("1D10T m0r0n ѕсum Scum$$$ it's 5!") == "idiot moron scum scum$$$ it's 5!"
+    assert toxicity.fold("Mörôn ｍｏｒｏｎ 𝐦𝐨𝐫𝐨𝐧 a55 m.o.r.o.n m o r o n. U.S. no 15 x2") == "moron moron moron ass moron moron. u.s. no 15 x2"
+
+
+def plain(lexicon, text):
+    """The features by a loop over words, without an automaton."""
+    folded = toxicity.fold(text or "")
+    spared = set()
+    for p in lexicon.phrases:
+        for m in re.finditer(rf"(?<![^\W\d_]){re.escape(p)}(?![^\W\d_])", folded):
+            spared |= set(range(*m.span()))
+    total = 0.0
+    for m in re.finditer(r"[^\W\d_]+", folded):
+        word = m[0]
+        entries = [(w, x) for e, x in lexicon.weights.items() for w in [e.rstrip("*")] if (word == w if "*" not in e else word.startswith(w) and word != w)]
+        if entries:
+            # the heaviest entry counts; a phrase spares it if it covers it
+            w, x = max(entries, key=lambda t: t[1])
+            if not set(range(m.start(), m.start() + len(w))) <= spared:
+                total += x
+    return math.log1p(total), math.log1p(100 * total / (folded.count(" ") + folded.count("\n") + 1))
+
+
+def test_equals_plain_scorer(spark):
+    docs, labels, _ = corpus(spark)
+    learned = toxicity.learn(docs, labels)
+    made = toxicity.Lexicon({"moron": 3.0, "scum": 2.5, "moro*": 2.0, "patheti*": 4.0, "äss": 1.0}, {"no moron", "scum here"}, (-1.0, 1.0, 1.0))
+    rng = random.Random(6)
+    words = ["moron", "m0r0n", "morons", "no", "scum", "here", "pathetic", "s.c.u.m", "ok", "x" * 40, "pathetically", "ｓｃｕｍ", "it's", "5!", "\n"]
+    texts = [r.text for r in docs.limit(80).collect()] + [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(300)] + [None, ""]
+    for lexicon in (learned, made):
+        assert [lexicon.features(t) for t in texts] == [pytest.approx(plain(lexicon, t)) for t in texts]
 
 
 def test_held_out_accuracy(spark):
