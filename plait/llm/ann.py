@@ -74,22 +74,26 @@ class Forest:
             yield got
 
 
-def answer(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int, share: float) -> tuple:
-    """The k nearest candidates of each query in one shard."""
+def answer(r_ids: np.ndarray, r: np.ndarray, k: int, share: float):
+    """Of one shard, what gives the k nearest candidates of (query ids, queries)."""
     forest = Forest(r)
     enough = max(16 * k, int(share * len(r) * TREES / 2))
-    out: list[list[np.ndarray]] = [[], [], []]
-    for i, got in enumerate(forest.candidates(q, enough)):
-        got = got[r_ids[got] != q_ids[i]]
-        rough = r[got] @ q[i]
-        if len(got) > 2 * k:  # the rough product may differ in the last bits from the exact one
-            cut = np.partition(rough, len(got) - k)[len(got) - k]
-            got = got[rough >= cut - 1e-9 * max(1.0, abs(cut))]
-        score = (r[got] * q[i]).sum(axis=1)
-        best = vectors.top(score, r_ids[got], k)
-        for col, x in zip(out, (np.full(len(best), q_ids[i]), r_ids[got[best]], score[best])):
-            col.append(x)
-    return tuple(np.concatenate(c) if c else np.empty(0, dtype=t) for c, t in zip(out, (np.int64, np.int64, np.float64)))
+
+    def nearest_of(q_ids: np.ndarray, q: np.ndarray) -> tuple:
+        out: list[list[np.ndarray]] = [[], [], []]
+        for i, got in enumerate(forest.candidates(q, enough)):
+            got = got[r_ids[got] != q_ids[i]]
+            rough = r[got] @ q[i]
+            if len(got) > 2 * k:  # the rough product may differ in the last bits from the exact one
+                cut = np.partition(rough, len(got) - k)[len(got) - k]
+                got = got[rough >= cut - 1e-9 * max(1.0, abs(cut))]
+            score = (r[got] * q[i]).sum(axis=1)
+            best = vectors.top(score, r_ids[got], k)
+            for col, x in zip(out, (np.full(len(best), q_ids[i]), r_ids[got[best]], score[best])):
+                col.append(x)
+        return tuple(np.concatenate(c) if c else np.empty(0, dtype=t) for c, t in zip(out, (np.int64, np.int64, np.float64)))
+
+    return nearest_of
 
 
 def calibrate(rows: DataFrame, k: int) -> float:
@@ -97,13 +101,15 @@ def calibrate(rows: DataFrame, k: int) -> float:
     got = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow().combine_chunks()
     if got.num_rows <= 20 * k:
         return 1.0
-    ids, x = got.column("vec_id").to_numpy(), vectors.matrix(got.column("embedding").combine_chunks())
+    ids, x = max(vectors.by_length(got.column("vec_id").to_numpy(), got.column("embedding").combine_chunks()).values(), key=lambda v: len(v[0]))
+    if len(ids) <= 20 * k:
+        return 1.0
     q_ids, q = ids[:SAMPLE_QUERIES], x[:SAMPLE_QUERIES]
     s = q @ x.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     true = np.argpartition(-s, k, axis=1)[:, :k]
     for share in LADDER:
-        a, b, _ = answer(q_ids, q, ids, x, k, share)
+        a, b, _ = answer(ids, x, k, share)(q_ids, q)
         hit = sum(len(np.intersect1d(ids[true[i]], b[a == q_ids[i]])) for i in range(len(q)))
         if hit >= TARGET * true.size:
             return share
@@ -116,8 +122,9 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id: str = "vec_id", emb
 
     Returns ``query_id, rank, vec_id, score``; ties go to the smaller vec_id. Vectors that are null,
     empty, zero or hold a null or non-finite component take no part, nor do rows with a null id.
-    Repeated rows are candidates as often as they stand. An empty table gives no rows.
+    Vectors are compared with those of their own length. Repeated rows are candidates as often as they
+    stand. An empty table gives no rows.
     """
     rows = vectors.usable(df, id, embedding)
     share = calibrate(rows, k)
-    return vectors.search(rows, rows.where(F.col("vec_id") % every == 0), k, lambda *a: answer(*a, k=k, share=share), "double")
+    return vectors.search(rows, rows.where(F.col("vec_id") % every == 0), k, lambda ids, x: answer(ids, x, k, share), "double")
