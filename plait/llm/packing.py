@@ -172,7 +172,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -
     while n:
         # parts of full size always settle bins; smaller ones may give all back, so they get fewer each round
         parts = 1 if n <= FEW else max(1, -(-n // part_rows), min(most, tokens // (PART_BINS * capacity)))
-        part = F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(tag)), F.lit(parts)).cast("int").alias("part")
+        # null or repeated ids are dealt by row
+        part = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(tag)), F.lit(parts)).cast("int").alias("part")
         packed = materialise(rest.select("doc_id", "piece", "start", "length", "ids_crc32", part).groupBy("part").applyInPandas(_kernel(capacity, tag, parts == 1), schema), f"pack-{tag}")
         done.append(packed.where("not given").drop("part", "given"))
         rest = packed.where("given").select("doc_id", "piece", "start", "length", "ids_crc32")

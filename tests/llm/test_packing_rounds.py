@@ -37,3 +37,15 @@ def test_partition_gives_all_that_it_has_too_much():
     fill = out.groupby("sequence_id")["length"].sum()
     assert over > 3
     assert out.loc[out["given"], "sequence_id"].nunique() == min(over + 1, int((fill < 1024).sum()))
+
+
+def test_null_and_repeated_ids_by_the_thousand(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).alias("doc_id"), F.lit("a b").alias("text"))
+    rows = packing.pack_documents(docs, PATH).collect()
+    tokens = rows[0].length
+    assert len(rows) == 4000 and sum(r.doc_id is None for r in rows) == 2666
+    assert len({r.sequence_id for r in rows}) == -(-4000 // (1024 // tokens))
+    # all are one kind of row, and still no part holds more than its share
+    cut = packing.materialise(packing.pieces(docs, PATH), "cut")
+    sizes = packing.pack(cut, part_rows=500).groupBy((F.col("sequence_id") / 2**22).cast("long")).count().toPandas()
+    assert sizes["count"].max() < 2000
