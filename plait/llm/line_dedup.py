@@ -45,13 +45,15 @@ def covered(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str =
     return later.select("d", "t", "p").groupBy("d", "t").agg(gone.alias("gone"))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """``docs`` with repeated lines removed from ``text``, and ``n_lines`` and ``n_removed`` added.
+def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "doc_id", counts: bool = True) -> DataFrame:
+    """``docs`` with repeated lines removed from ``text``, and, if ``counts``, with ``n_lines`` and
+    ``n_removed`` in the place of columns of these names; all others stay, whatever their names.
 
     Lines are what stands between line feeds, taken as they are. Windows of blank lines only are not
     looked at; a text of fewer than three lines has none and stays. A text whose lines all go becomes
     empty; its row stays. A null text stays null, with zero lines. Rows equal in id and text count as
-    one document and keep the same lines; rows with a null id come last in order.
+    one document and keep the same lines; rows with a null id come last in order. An empty table gives
+    no rows.
     """
     gone = materialise(covered(docs, window, text, id), "covered")
     n = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
@@ -64,8 +66,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "
     n = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     clean = F.when(F.size("gone") == 0, F.col("row").getField(text)).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get("lines", i))))
-    columns = [clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names]
-    return lined.select(*columns, n.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+    added = [n.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed")] if counts else []
+    columns = [clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names if not (counts and c in ("n_lines", "n_removed"))]
+    return lined.select(*columns, *added)
 
 
 #: The same rows in SQL (doc_id unique and not null).

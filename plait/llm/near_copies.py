@@ -7,18 +7,18 @@ Here the same codes find the candidates on features that change less, and simila
 1. texts equal up to case and white space are one class, kept by its first document;
 2. a class has four fingerprints of 46 bits over its distinct words; both 23-bit segments are decoded
    to their nearby codewords, and pairs of these are the keys (about 28 a fingerprint). Classes that
-   differ in at most two bits of either segment of some fingerprint share a key;
-3. candidates are verified by the sets of their five-word shingles: counts of shingles in ``BINS`` bins
-   bound how far two sets differ and rule out what cannot reach 0.8, and the sets decide the rest;
-4. a second pass finds every link between parts that the first leaves apart, by exact prefix filtering:
-   shingles are ordered from rare to common, and two sets at 0.8 share one among the first fifth
-   of each, whatever was edited. Members of one part need not meet again, so a cluster that the first
-   pass joins gives no pairs;
+   differ in at most two bits of either segment of some fingerprint share a key. Of every run of a key
+   the member nearest to the run's majority is its centre, and of all centres that a class meets it
+   asks the nearest one: a question a class, however large its group;
+3. a question is answered by the sets of five-word shingles; what is linked is joined into parts;
+4. exact prefix filtering finds every link between parts that are still apart: shingles are ordered from
+   rare to common, and two sets at 0.8 share one among the first fifth of each, whatever was edited. In
+   rounds, each class first asks the largest parts that it shares the most of these shingles with, so
+   that groups grow together. Then a last pass leaves nothing out: a class asks the blocks of every
+   other part in which a set stands that shares such a shingle, and is linked to the part by the first
+   set at 0.8 that it meets there; members of one part never meet. So a group gives rows in proportion
+   to its members;
 5. of each component of links the document with the smallest id stays.
-
-In the first pass a pair is taken at the first key that it shares, and a key's run that is longer than
-``DENSE`` does not give all its pairs: each member meets its ``NEAREST`` nearest and the run's ``HUBS``
-most central members, of which a source of copies is one. What that leaves out is for the second pass.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plait.llm.simhash import nearby
@@ -36,16 +36,21 @@ from plait.operators.components import connected_components
 from plait.runtime import lean, materialise, ship
 
 WORDS, SIMILARITY = 5, 0.8
-PRINTS, LONG_BITS = 4, 1024
+PRINTS = 4
 SEEDS = -(-46 * PRINTS // 128)
-DENSE, NEAREST, HUBS, DISTANCE = 24, 4, 2, 4
-BROADCAST_ROWS = 2_000_000
-#: Bins of a set's counts.
-BINS = 128
+#: Bits in which a class and the centre that it asks may differ.
+DISTANCE = 6
+#: A key that this share of a batch of classes holds is dealt over SALTS runs.
+HOT, SALTS = 0.25, 256
+BROADCAST_ROWS = 1_000_000
+#: Members of a part and shingles of theirs in a block, and questions to a copy of a block.
+BLOCK_SETS, BLOCK_SHINGLES, QUESTIONS = 256, 200_000, 2048
+#: Rounds in which groups grow together, at most, and questions of a class in each.
+ROUNDS, ASKED = 2, 3
 #: Shingles are counted in 2^COUNT_BITS buckets, sent in rows of BLOCK; any counts give the same links.
 COUNT_BITS, BLOCK = 20, 1 << 16
-#: Runs of a shingle up to this length are compared by offsets; pairs that a task holds at a time.
-SHORT_RUN, HELD_PAIRS = 48, 500_000
+#: Runs of a shingle up to this length are compared by offsets; rows and questions that a task holds at a time.
+SHORT_RUN, HELD_ROWS, HELD_QUESTIONS = 48, 50_000, 500_000
 
 
 def word_prints(parts: list[bytes]) -> list[int]:
@@ -84,25 +89,6 @@ def shingle_set(parts: list[bytes], words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def long_print(parts: list[bytes], words: int = WORDS) -> tuple[bytes, np.ndarray]:
-    """SimHash of LONG_BITS bits over the distinct shingles, an estimate only, and the set of them."""
-    h = shingle_set(parts, words)
-    total = np.zeros(LONG_BITS, dtype=np.int64)
-    odd = (np.arange(LONG_BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for at in range(0, len(h), 8192):
-        with np.errstate(over="ignore"):  # further hashes by mixing the first
-            x = (h[at : at + 8192, None] ^ (h[at : at + 8192, None] >> np.uint64(31))) * odd[None, :]
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-        total += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(h)).tobytes(), h
-
-
-def bins_of(h: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each bin, at most 255."""
-    return np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-
-
 def overlap(m: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
     """How many shingles sets of sizes ``m`` and ``n`` share at least at a similarity of ``least``."""
     return np.ceil(least / (1 + least) * (m + n) - 1e-9).astype(np.int64)
@@ -116,158 +102,208 @@ def prefix(h: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     return h[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
 
 
-def similarity(distance: np.ndarray, bits: int = LONG_BITS) -> np.ndarray:
-    """Jaccard similarity of sets of like size whose SimHashes differ in ``distance`` bits: the cosine c
-    of the angle is 2j / (1 + j)."""
-    c = np.cos(np.pi * distance / bits)
-    return c / (2 - c)
-
-
-def _run_pairs(fp: np.ndarray, node: np.ndarray, key: int) -> list[tuple[int, int]]:
-    """Candidate pairs (positions) of one dense run, of those that share no smaller key."""
-    n, out = len(fp), []
-    hubs: np.ndarray | None = None
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1)
-    centre = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n).view(np.uint64)[0]
-    hubs = np.lexsort((node, np.bitwise_count(fp ^ centre)))[:HUBS]
-    for at in range(0, n, 1024):
-        d = np.bitwise_count(fp[at : at + 1024, None] ^ fp[None, :]).astype(np.int16)
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = 99
-        k = min(NEAREST, n - 1)
-        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k]
-        ok = np.take_along_axis(d, near, axis=1) <= DISTANCE
-        i, j = np.nonzero(ok)
-        out += zip((i + at).tolist(), near[i, j].tolist())
-    for h in hubs.tolist():
-        out += [(i, h) for i in np.flatnonzero(np.bitwise_count(fp ^ fp[h]) <= 2 * DISTANCE).tolist() if i != h]
-    at = np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 2)
-    keep = first_shared(np.full(len(at), key), fp[at[:, 0]], fp[at[:, 1]]) == key
-    return list(map(tuple, at[keep].tolist()))
-
-
-def first_shared(key: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """The smallest key of the same fingerprint that two words share; a pair counts there alone."""
-    out = key >> 24 << 24
-    for shift, place in ((0, 12), (23, 0)):
-        part = lambda x: (x >> np.uint64(shift)).astype(np.int64) & (1 << 23) - 1  # noqa: B023, E731
-        x, y = nearby(part(f)), nearby(part(g))
-        x = np.where((x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0), x, 1 << 20).min(axis=1)
-        out = out | x << place
-    return out
-
-
-def candidate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, node) sorted by key within the task → distinct pairs (a, b), a < b."""
-    seen: set[tuple[int, int]] = set()
-    held: list[tuple] = []
-
-    def take(parts: list) -> None:
-        key, fp, node = (np.concatenate(x) for x in zip(*parts))
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        length = np.diff(np.concatenate((start, [len(key)])))
-        u = fp.view(np.uint64)
-        for s, n in zip(start[length > DENSE].tolist(), length[length > DENSE].tolist()):
-            own = node[s : s + n].tolist()
-            seen.update((min(own[i], own[j]), max(own[i], own[j])) for i, j in _run_pairs(np.ascontiguousarray(u[s : s + n]), node[s : s + n], int(key[s])))
-        size = np.repeat(length, length)
-        keep = np.flatnonzero((size > 1) & (size <= DENSE))
-        k, f, m = key[keep], u[keep], node[keep]
-        for step in range(1, DENSE):
-            same = np.flatnonzero(k[step:] == k[:-step])
-            if not len(same):
-                break
-            same = same[np.bitwise_count(f[same] ^ f[same + step]) <= DISTANCE]
-            same = same[k[same] == first_shared(k[same], f[same], f[same + step])]
-            a, b = m[same], m[same + step]
-            seen.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-
-    def out() -> Iterator[pa.RecordBatch]:
-        a, b = zip(*(p for p in seen if p[0] != p[1])) if any(x != y for x, y in seen) else ((), ())
-        seen.clear()
-        for at in range(0, len(a), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 10_000], pa.int64()), pa.array(b[at : at + 10_000], pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
+def runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Columns of whole runs of the first one, which rows are sorted by; a run of more than ``most`` rows
+    comes in parts."""
+    held: list[list[np.ndarray]] = []
+    n, limit = 0, HELD_ROWS
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held)]
+
+    for b in batches:
+        if not b.num_rows:
             continue
-        key, fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut or not held:
-            take([*held, (key[:cut], fp[:cut], node[:cut])]) if held or cut else None
-            held = []
-        held.append((key[cut:], fp[cut:], node[cut:]))
-        if len(seen) > 500_000:
-            yield from out()
+        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
+        n += b.num_rows
+        if n >= limit:
+            cols = joined()
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if not cut and most is not None and n >= most:
+                cut = n
+            if cut:
+                yield [c[:cut] for c in cols]
+            held, limit = [[c[cut:] for c in cols]] if cut < n else [], HELD_ROWS if cut else 2 * n
+            n -= cut
     if held:
-        take(held)
-    yield from out()
+        yield joined()
+
+
+def centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, node) sorted by key within the task → (node, distance, centre): of the centres of its
+    runs the one that each node is nearest to."""
+    found: list[np.ndarray] = []
+
+    def best() -> np.ndarray:
+        node, d, hub = np.concatenate(found, axis=1)
+        by = np.lexsort((hub, d, node))
+        node, d, hub = node[by], d[by], hub[by]
+        new = np.concatenate(([True], node[1:] != node[:-1]))
+        return np.stack((node[new], d[new], hub[new]))
+
+    for key, fp, node in runs(batches, HELD_ROWS):
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.concatenate((start, [len(key)])))
+        keep = np.repeat(n > 1, n)
+        if not keep.any():
+            continue
+        fp, node, n = fp[keep].view(np.uint64), node[keep], n[n > 1]
+        start = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(n)), n)
+        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1)
+        centre = np.packbits(np.add.reduceat(bits.astype(np.int32), start, axis=0) * 2 > n[:, None], axis=1).view(np.uint64).ravel()
+        hub = np.lexsort((node, np.bitwise_count(fp ^ centre[run]), run))[start][run]
+        d = np.bitwise_count(fp ^ fp[hub])
+        ok = (d <= DISTANCE) & (node != node[hub])
+        found.append(np.stack((node[ok], d[ok].astype(np.int64), node[hub][ok])))
+        if sum(x.shape[1] for x in found) > HELD_QUESTIONS:
+            found = [best()]
+            if found[0].shape[1] > HELD_QUESTIONS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.pop()], ["node", "distance", "centre"])
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best()], ["node", "distance", "centre"])
+
+
+def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, size, place) sorted by key within the task → those of keys that several nodes have."""
+    for key, node, size, place in runs(batches):
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.concatenate((start, [len(key)])))
+        several = np.repeat(np.logical_or.reduceat(node != np.repeat(node[start], n), start), n)
+        cols = [c[several] for c in (key, node, size, place)]
+        for at in range(0, len(cols[0]), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000]) for c in cols], ["key", "node", "size", "place"])
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, node, size, place) sorted by key within the task → pairs (a, b), a < b, of nodes of
-    different parts that share a prefix shingle and whose sizes and places allow a similarity of
-    ``least``. No such pair is left out; at their first common shingle, places bound what can follow."""
-    held: list[tuple] = []
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def _may(m: np.ndarray, p: np.ndarray, n: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of sizes m and n that share their shingles at places p and q, and none before one of
+    them, can be at ``least``."""
+    return np.minimum(m - p, n - q) >= overlap(m, n, least)
 
-    def may(m: np.ndarray, p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return np.minimum(m - p, n - q) >= overlap(m, n, least)
 
-    def add(a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            found.append((np.minimum(a, b), np.maximum(a, b)))
+def stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, members, part, block, node, size, place) sorted by key within the task → (node, part, block,
+    n): how many runs' largest part, by one member's block, a node of another part could be linked to."""
+    found: list[np.ndarray] = []
 
-    def take(parts: list) -> Iterator[pa.RecordBatch]:
-        key, part, node, size, place = (np.concatenate(x) for x in zip(*parts))
+    def out() -> np.ndarray:
+        cols = np.concatenate(found, axis=1)
+        found.clear()
+        by = np.lexsort(cols[:3])
+        cols = cols[:, by]
+        new = np.flatnonzero(np.concatenate(([True], (cols[:3, 1:] != cols[:3, :-1]).any(axis=0))))
+        return np.concatenate((cols[:3, new], np.add.reduceat(cols[3], new)[None]))
+
+    for key, members, part, block, node, size, place in runs(batches):
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.concatenate((start, [len(key)])))
+        top = np.repeat(np.lexsort((node, part, -members, np.repeat(np.arange(len(n)), n)))[start], n)
+        ok = np.flatnonzero((part != part[top]) & _may(size, place, size[top], place[top], least))
+        if len(ok):
+            found.append(np.stack((node[ok], part[top[ok]], block[top[ok]].astype(np.int64), np.ones(len(ok), dtype=np.int64))))
+        if sum(x.shape[1] for x in found) > HELD_QUESTIONS:
+            found.append(out())
+            if found[0].shape[1] > HELD_QUESTIONS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.pop()], ["node", "part", "block", "n"])
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out()], ["node", "part", "block", "n"])
+
+
+def questions(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, members, part, block, node, size, place) sorted by key within the task → (node, part,
+    block): a node, and a block of another part with a set whose prefix shares a shingle with its own and
+    whose size and place allow a similarity of ``least``. The node's part has no more members than the
+    other. No such pair is left out; at a first common shingle, places bound what can follow."""
+    found: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        cols = np.concatenate(found, axis=1)
+        found.clear()
+        by = np.lexsort(cols)
+        cols = cols[:, by]
+        new = np.concatenate(([True], (cols[:, 1:] != cols[:, :-1]).any(axis=0)))
+        return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in cols], ["node", "part", "block"])
+
+    for key, members, part, block, node, size, place in runs(batches):
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.concatenate((start, [len(key)])))
         mixed = np.logical_or.reduceat(part != np.repeat(part[start], length), start)
+
+        def ask(i: np.ndarray, j: np.ndarray) -> None:
+            swap = (members[i] > members[j]) | (members[i] == members[j]) & (part[i] > part[j])  # noqa: B023
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            found.append(np.stack((node[i], part[j], block[j].astype(np.int64))))  # noqa: B023
+
         for s, n in zip(start[mixed & (length > SHORT_RUN)].tolist(), length[mixed & (length > SHORT_RUN)].tolist()):
-            p, v, m, q = (x[s : s + n] for x in (part, node, size, place))
-            names, inverse, count = np.unique(p, return_inverse=True, return_counts=True)
-            few = np.flatnonzero(inverse != count.argmax())  # members of the largest part need not meet
-            for at in range(0, len(few), max(1, 2_000_000 // n)):
-                f = few[at : at + max(1, 2_000_000 // n)]
-                i, j = np.nonzero(may(m[f, None], q[f, None], m[None, :], q[None, :]) & (p[f, None] != p[None, :]))
-                add(v[f[i]], v[j])
-                if sum(len(a) for a, _ in found) > HELD_PAIRS:
-                    yield from out()
-        keep = np.flatnonzero(np.repeat(mixed & (length <= SHORT_RUN), length))
-        k, p, v, m, q = (x[keep] for x in (key, part, node, size, place))
+            count = np.unique(part[s : s + n], return_inverse=True, return_counts=True)
+            few = s + np.flatnonzero(count[1] != count[2].argmax())  # members of the largest part need not meet
+            step = max(1, 1_000_000 // n)
+            for at in range(0, len(few), step):
+                f = few[at : at + step, None]
+                i, j = np.nonzero(_may(size[f], place[f], size[None, s : s + n], place[None, s : s + n], least) & (part[f] != part[None, s : s + n]))
+                ask(f[i, 0], j + s)
+                if sum(x.shape[1] for x in found) > HELD_QUESTIONS:
+                    yield out()
+        short = np.repeat(mixed & (length <= SHORT_RUN), length)
         for step in range(1, SHORT_RUN):
-            same = np.flatnonzero(k[step:] == k[:-step])
+            same = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
             if not len(same):
                 break
-            same = same[p[same] != p[same + step]]
-            same = same[may(m[same], q[same], m[same + step], q[same + step])]
-            add(v[same], v[same + step])
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if not found:
-            return
-        a, b = (np.concatenate(x) for x in zip(*found))
-        found.clear()
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        a, b = a[new], b[new]
-        for at in range(0, len(a), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 10_000]), pa.array(b[at : at + 10_000])], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        if cut:  # the last run may go on in the next batch
-            yield from take([*held, tuple(c[:cut] for c in cols)])
-            held = []
-        held.append(tuple(c[cut:] for c in cols))
-        if sum(len(a) for a, _ in found) > HELD_PAIRS:
-            yield from out()
-    if held:
-        yield from take(held)
-    yield from out()
+            same = same[part[same] != part[same + step]]
+            same = same[_may(size[same], place[same], size[same + step], place[same + step], least)]
+            if len(same):
+                ask(same, same + step)
+        if sum(x.shape[1] for x in found) > HELD_QUESTIONS:
+            yield out()
+    if found:
+        yield out()
+
+
+class Sets:
+    """Sets of one block, with the members of each shingle."""
+
+    def __init__(self) -> None:
+        self.nodes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.all: np.ndarray | None = None
+
+    def add(self, node: int, h: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.sets.append(h)
+
+    def similar(self, h: np.ndarray, least: float) -> int | None:
+        """A member whose set is at ``least`` or more to ``h``."""
+        if self.all is None:
+            self.sizes = np.array([len(x) for x in self.sets])
+            every = np.concatenate(self.sets)
+            by = np.argsort(every, kind="stable")
+            self.all, self.own = every[by], np.repeat(np.arange(len(self.sets)), self.sizes)[by]
+        low, high = np.searchsorted(self.all, h), np.searchsorted(self.all, h, side="right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.own[at], minlength=len(self.sizes))
+        hit = both >= least * (self.sizes + len(h) - both) - 1e-9
+        return self.nodes[int(hit.argmax())] if hit.any() else None
+
+
+def answers(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (part, block, salt, asks, node, shingles) in this order within the task → (src, dst): each node
+    that asks, with a member of the block at ``least`` or more."""
+    at, sets = None, Sets()
+    for b in batches:
+        src, dst = [], []
+        where = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+        asks, node = b.column(3).to_pylist(), b.column(4).to_pylist()
+        for i, key in enumerate(where):
+            h = b.column(5)[i].values.to_numpy().view(np.uint64)
+            if key != at:
+                at, sets = key, Sets()
+            if not asks[i]:
+                sets.add(node[i], h.copy())
+            elif sets.nodes and (hit := sets.similar(h, least)) is not None:
+                src.append(node[i])
+                dst.append(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -284,27 +320,29 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        names = ["doc_id", "e1", "e2", "fps", "t", "block", "counts"]
+        names = ["doc_id", "e1", "e2", "fps", "size", "t", "block", "counts"]
         for b in batches:
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[], [], [], []]
             for text in b.column(1).to_pylist():
                 parts = split(text)
                 e1, e2 = class_of(parts)
                 cols[0].append(e1)
                 cols[1].append(e2)
                 cols[2].append(word_prints(parts) if parts else None)
+                h = shingle_set(parts, words) if parts else ()
+                cols[3].append(len(h))
                 if parts:
-                    np.add.at(counts, (shingle_set(parts, words) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+                    np.add.at(counts, (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
             none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), b.column(2), *none], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int64()), b.column(2), *none], names)
         # how common shingles are in this task: rows of their own
         blocks = [i for i in range(len(counts) // BLOCK) if counts[i * BLOCK : (i + 1) * BLOCK].any()]
-        none = [pa.nulls(len(blocks), ty) for ty in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())]
+        none = [pa.nulls(len(blocks), ty) for ty in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())]
         sent = [np.minimum(counts[i * BLOCK : (i + 1) * BLOCK], 2**32 - 1).astype(np.uint32).tobytes() for i in blocks]
         yield pa.RecordBatch.from_arrays([*none, pa.array(blocks, pa.int32()), pa.array(sent, pa.binary())], names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("t"))
-    read = materialise(source.mapInArrow(lean(prints), "doc_id long, e1 long, e2 long, fps array<long>, t long, block int, counts binary"), "copies-prints")
+    read = materialise(source.mapInArrow(lean(prints), "doc_id long, e1 long, e2 long, fps array<long>, size long, t long, block int, counts binary"), "copies-prints")
     rows = read.where("block is null").drop("block", "counts")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +357,9 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
         common[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.int64)
     common = spark.sparkContext.broadcast(common)
     # e1 names a class of equal texts; e2 guards it
-    classes = rows.groupBy("e1", "e2").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.min("t").alias("t"))
-    classes = materialise(classes.select(F.col("e1").bitwiseXOR(F.col("e2")).alias("node"), "e1", "e2", "first", "fps", "t"), "copies-classes")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("row")
+    classes = rows.groupBy("e1", "e2").agg(row, F.first("fps").alias("fps"), F.max("size").alias("size"), F.min("t").alias("t"))
+    classes = materialise(classes.select(F.col("e1").bitwiseXOR(F.col("e2")).alias("node"), "e1", "e2", F.col("row.doc_id").alias("first"), F.col("row.t").alias("first_t"), "fps", "size", "t"), "copies-classes")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,11 +370,13 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
                     x, y = nearby(f & (1 << 23) - 1), nearby(f >> 23)
                     r, i, j = np.nonzero((x[:, :, None] >= 0) & (y[:, None, :] >= 0))
                     key = k << 24 | x[r, i] << 12 | y[r, j]
+                    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+                    key = np.where(count[which] > max(HOT * len(f), 2), key | 1 + (node[at : at + 2000][r] & SALTS - 1) << 32, key)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f[r]), pa.array(node[at : at + 2000][r])], ["key", "fp", "node"])
 
     keys = classes.where("fps is not null").select("node", "fps").mapInArrow(lean(expand), "key long, fp long, node long")
-    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(candidate_pairs), "a long, b long")
-    pairs = materialise(pairs.distinct(), "copies-pairs")
+    nearest = keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(centres), "node long, distance long, centre long")
+    nearest = nearest.groupBy("node").agg(F.min(F.struct("distance", "centre")).alias("x")).select("node", F.col("x.centre").alias("part"), F.lit(0).cast("long").alias("block"))
 
     def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -346,44 +387,35 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
                 e1, e2 = class_of(parts)
                 if node == e1 ^ e2 and node not in seen:  # t may be shared by another text
                     seen.add(node)
-                    h = shingle_set(parts, words)
-                    got.append((node, len(h), bins_of(h), h.view(np.int64)))
-            nodes, sizes, bins, sets = zip(*got) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "bins", "shingles"])
-
-    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m, n = (b.column(i).to_numpy() for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
-            ok = pa.array(np.abs(x - y).sum(axis=1) <= m + n - 2 * overlap(m, n, least))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["src", "dst"])
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) at ``least`` or more, as (src, dst). A class's text is found by its hash."""
-        wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "t"), "copies-wanted")
+                    got.append((node, shingle_set(parts, words).view(np.int64)))
+            nodes, sets = zip(*got) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    def confirmed(asked: DataFrame, members: DataFrame | None, tag: str) -> DataFrame:
+        """(src, dst) of classes that ask a block of a part (node, part, block) and a member of it at
+        ``least`` or more. Members of parts are (node, part, block); others are parts of their own."""
+        asked = materialise(asked, f"copies-asked-{tag}")
+        # a block that many ask is copied, and the questions are dealt to the copies
+        blocks = asked.groupBy("part", "block").agg(F.ceil(F.count("*") / QUESTIONS).alias("copies"))
+        if members is None:
+            blocks = blocks.withColumn("node", F.col("part"))
+        else:
+            blocks = blocks.join(members.withColumnRenamed("node", "member"), ["part", "block"], "left").select("part", "block", "copies", F.coalesce("member", "part").alias("node"))
+        blocks = materialise(blocks, f"copies-blocks-{tag}")
+        # a class's text is that of its first row; where rows repeat it, so does the set
+        wanted = asked.select("node").union(blocks.select("node")).distinct().join(classes, "node").select("node", F.col("first").alias("of"), F.col("first_t").alias("of_t"))
+        wanted = materialise(wanted, f"copies-wanted-{tag}")
         side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        long = source.where("text is not null").join(side, "t").select("node", "text").mapInArrow(lean(lengthen), "node long, size long, bins binary, shingles array<long>")
-        long = materialise(long.dropDuplicates(["node"]), "copies-long")
-        side = lambda n, *c: long.select(F.col("node").alias(n), *(F.col(x).alias(f"{n}_{x}") for x in c))
-        near = pairs.join(side("a", "size", "bins"), "a").join(side("b", "size", "bins"), "b").select("a", "b", "a_size", "b_size", "a_bins", "b_bins")
-        near = materialise(near.mapInArrow(lean(rule_out), "a long, b long"), "copies-near")
-        decided = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles")
-        return materialise(decided.mapInArrow(lean(decide), "src long, dst long"), "copies-links")
-
-    links = confirmed(pairs)
-    first = materialise(connected_components(links).select("node", F.col("component").alias("part")), "copies-first")
-
+        sets = source.where("text is not null").join(side, (F.col("t") == F.col("of_t")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
+        sets = materialise(sets.mapInArrow(lean(lengthen), "node long, shingles array<long>"), f"copies-sets-{tag}")
+        copies = blocks.select("part", "block", "copies").distinct()
+        asking = asked.join(copies, ["part", "block"]).select("part", "block", F.pmod(F.xxhash64("node"), F.col("copies")).alias("salt"), F.lit(1).alias("asks"), "node")
+        held = blocks.select("part", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("asks"), "node")
+        rows = asking.union(held).join(sets, "node").select("part", "block", "salt", "asks", "node", "shingles")
+        met = rows.repartition("part", "block", "salt").sortWithinPartitions("part", "block", "salt", "asks")
+        return materialise(met.mapInArrow(lean(lambda it: answers(it, least)), "src long, dst long"), f"copies-links-{tag}")
+
+    links = confirmed(nearest, None, "near")
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = common.value, set()
         for b in batches:
@@ -404,10 +436,34 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
             for at in range(0, len(place), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000]) for c in cols], ["key", "node", "size", "place"])
 
-    rows_of = source.where("text is not null").select("text").mapInArrow(lean(rare), "key long, node long, size int, place int")
-    rows_of = rows_of.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "node", "left").select("key", F.coalesce("part", "node").alias("part"), "node", "size", "place")
-    apart = rows_of.repartition("key").sortWithinPartitions("key").mapInArrow(lean(lambda it: cross_pairs(it, least)), "a long, b long")
-    links = links.union(confirmed(materialise(apart.distinct(), "copies-apart")))
+    prefixes = source.where("text is not null").select("text").mapInArrow(lean(rare), "key long, node long, size int, place int")
+    prefixes = prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(lean(shared_runs), "key long, node long, size int, place int")
+    prefixes = materialise(prefixes, "copies-runs")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """(node, part, members, block) of the classes that have links."""
+        held = connected_components(links).select("node", F.col("component").alias("part")).join(classes.select("node", "size"), "node")
+        held = materialise(held, "copies-held")
+        parts = held.groupBy("part").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+        return materialise(held.join(parts, "part").select("node", "part", "members", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "copies-grown")
+
+    def in_runs(held: DataFrame) -> DataFrame:
+        whole = [F.coalesce("members", F.lit(1).cast("long")).alias("members"), F.coalesce("part", "node").alias("part"), F.coalesce("block", F.lit(0).cast("long")).alias("block")]
+        rows = prefixes.join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, "node", "left").select("key", *whole, "node", "size", "place")
+        return rows.repartition("key").sortWithinPartitions("key")
+
+    held = joined(links)
+    for i in range(ROUNDS):
+        asked = in_runs(held).mapInArrow(lean(lambda it: stars(it, least)), "node long, part long, block long, n long")
+        asked = asked.groupBy("node", "part", "block").agg(F.sum("n").alias("n"))
+        asked = asked.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "part", "block"))).where(F.col("k") <= ASKED)
+        more = confirmed(asked.select("node", "part", "block"), held.select("node", "part", "block"), f"round-{i}")
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        held = joined(links)
+    apart = in_runs(held).mapInArrow(lean(lambda it: questions(it, least)), "node long, part long, block long")
+    links = links.union(confirmed(apart.distinct(), held.select("node", "part", "block"), "apart"))
     parts = connected_components(links).select("node", F.col("component").alias("part"))
     labelled = materialise(classes.join(parts, "node", "left").select("e1", "e2", "first", "t", F.coalesce("part", "node").alias("part")), "copies-parts")
     least_id = materialise(labelled.groupBy("part").agg(F.min("first").alias("stay"), F.min("t").alias("stay_t")), "copies-stay")
