@@ -74,3 +74,35 @@ def test_run(spark, sf_dir):
             end += n
         assert end <= 1024
     assert len(bins) <= sum(r.length for r in rows) // 1024 + 2
+
+
+CLASHING = ("n", "n_lines", "n_removed", "nats", "score", "threshold", "keep", "trusted", "t", "row", "gone", "gone_id", "gone_t", "part", "stays", "node", "label", "gram", "block", "lines", "d", "length", "piece", "size", "first", "host", "k")
+
+
+def test_clashing_names_in_every_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40 or doc_id >= 240 or doc_id is null")
+    odd = docs.selectExpr("*", *(f"doc_id as `{c}`" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        # a stage deletes what the one before left in the shared folder
+        rows = [(r.doc_id, r.text) for r in stage(spark, docs, sf_dir).collect()]
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns, name
+        got = out.collect()
+        key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+        assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(rows, key=key), name
+        assert all(r[c] == r.doc_id for r in got for c in CLASHING), name
+    packing = corpus_pipeline.STAGES[-1][1]
+    n = packing(spark, odd, sf_dir).count()
+    assert n == packing(spark, docs, sf_dir).count() > 0
+
+
+def test_empty_and_very_long(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(4)
+    long = "\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(9999)) for _ in range(20)) for _ in range(20_000))
+    one = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", 1), (3, None, None, None, None), (4, " \n\t", "en", "s", 3)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        got = stage(spark, one, sf_dir).collect()
+        want = {"quality": {1, 2, 3, 4}, "lines": {1, 2, 3, 4}, "near_duplicates": {1, 3}, "privacy": {1, 2, 3, 4}, "packing": {1, 2, 3, 4}}[name]
+        assert {r.doc_id for r in got} == want, name
