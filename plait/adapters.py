@@ -63,6 +63,14 @@ def layered_graph(spark: SparkSession, sf_dir: str) -> PathGraph:
     return PathGraph(nodes, path_edges(steps), steps)
 
 
+def layered_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node_id, dst, flag): the distinct steps of the layered paths, with the next node (null at a path's end).
+    One shuffle of the lines gives nodes, edges and flags; the rows are as few as edges times flags."""
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    step, lane = (F.row_number().over(w) - 1).cast("long"), F.col("l_partkey") % LANES
+    return table(spark, sf_dir, "lineitem").select((step * LANES + lane).alias("node_id"), ((step + 1) * LANES + F.lead(lane).over(w)).alias("dst"), F.col("l_returnflag").alias("flag")).distinct()
+
+
 def supply_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node_id, parent_id, label, distance): root, regions, nations, suppliers."""
     region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plait import adapters as A
 from plait.operators import graph
 from plait.queries import _LAYERS, query
-from plait.runtime import table
+from plait.runtime import materialise, table
 
 _CLOSED = f"""{A.SQL_LAYERED}, closure as (with recursive r(src, dst) as (select node_id, node_id from lnodes union select r.src, e.dst from r join ledges e on e.src = r.dst) select * from r)"""
 _FLAGS = f"""{_CLOSED}, fsteps as (select flag as path_id, row_number() over (partition by flag order by node_id) - 1 as step, node_id from (select distinct flag, node_id from lsteps))"""
@@ -16,9 +16,13 @@ _FLAGS = f"""{_CLOSED}, fsteps as (select flag as path_id, row_number() over (pa
 
 def _flag_steps(spark, d) -> DataFrame:
     """(path_id, step, node_id): the nodes of each return flag in order, as three paths that overlap."""
+    return _in_order(A.layered_steps(spark, d))
+
+
+def _in_order(steps: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    flags = A.layered_steps(spark, d).select(F.col("flag").alias("path_id"), "node_id").distinct()
+    flags = steps.select(F.col("flag").alias("path_id"), "node_id").distinct()
     w = Window.partitionBy("path_id").orderBy("node_id")
     return flags.select("path_id", (F.row_number().over(w) - 1).cast("long").alias("step"), "node_id")
 
@@ -146,8 +150,9 @@ def dag_chain_merge(spark, d):
   last as (select c.dst as node_id, s.path_id, max(s.step) as k from closure c join fsteps s on s.node_id = c.src group by all)
   select l.node_id, l.path_id, l.k::bigint as last_step, f.hops::bigint as distance from last l join fsteps s on s.path_id = l.path_id and s.step = l.k join far f on f.src = s.node_id and f.dst = l.node_id""")
 def dag_post_switch_distances(spark, d):
-    g = A.layered_graph(spark, d)
-    return graph.post_switch_distances(_flag_steps(spark, d), g.edges, graph.layers(g.nodes, g.edges))
+    moves = materialise(A.layered_moves(spark, d), "moves")  # the lines are sorted once
+    edges = moves.where("dst is not null").select(F.col("node_id").alias("src"), "dst").distinct()
+    return graph.post_switch_distances(_in_order(moves), edges)
 
 
 @query("""with e as (select p_partkey as a, p_partkey + p_size % 13 as b from part where p_size % 3 = 0), n as (select p_partkey as x from part union select b from e),

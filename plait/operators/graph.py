@@ -200,16 +200,22 @@ def topological_order(nodes: DataFrame, edges: DataFrame, layered: DataFrame | N
     return layered.withColumn("rank", rank).join(first, "layer").select("node_id", (F.col("first") + F.col("rank") - 1).alias("place"))
 
 
-def _sweep(edges: DataFrame, layered: DataFrame, start: DataFrame, own: DataFrame | None, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _sweep(edges: DataFrame, layered: DataFrame, start: DataFrame | None, own: DataFrame | None, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """States of nodes, a layer a round: ``fold`` takes the states of a layer's predecessors, by edge (src,
-    node_id and the state's columns), to the layer's, which ``own`` joins. A round writes its own layer."""
+    node_id and the state's columns), to the layer's, which ``own`` joins; the first layer has ``start``, or
+    else its own. A round writes its own layer; what all rounds read is written before them, so that none
+    goes back to what it was made of."""
     shared_dir(layered.sparkSession)
+    layered = layered.checkpoint()
+    if own is not None:
+        own = own.join(layered, "node_id").checkpoint()
+    mine = lambda k: own.where(F.col("layer") == k).drop("layer")
     at = lambda c: layered.select(F.col("node_id").alias(c), F.col("layer").alias(f"{c}_layer"))
     placed = edges.join(at("src"), "src").join(at("dst"), "dst").checkpoint()
     ahead: dict[int, list[int]] = {}
     for a, b in placed.select("src_layer", "dst_layer").distinct().collect():  # pairs of layers
         ahead.setdefault(b, []).append(a)
-    done = {0: start.checkpoint()}
+    done = {0: (mine(0) if start is None else start).checkpoint()}
     for k in sorted(ahead):
         before = None
         for a in ahead[k]:
@@ -217,8 +223,7 @@ def _sweep(edges: DataFrame, layered: DataFrame, start: DataFrame, own: DataFram
         step = placed.where(F.col("dst_layer") == k).select("src", F.col("dst").alias("to")).join(before.withColumnRenamed("node_id", "src"), "src")
         states = fold(step.withColumnRenamed("to", "node_id"))
         if own is not None:
-            mine = own.join(layered.where(F.col("layer") == k).select("node_id"), "node_id", "left_semi")
-            states = fold(states.withColumn("src", F.lit(None).cast("long")).unionByName(mine.withColumn("src", F.lit(None).cast("long")), allowMissingColumns=True))
+            states = fold(states.withColumn("src", F.lit(None).cast("long")).unionByName(mine(k).withColumn("src", F.lit(None).cast("long")), allowMissingColumns=True))
         done[k] = states.checkpoint()
     out = None
     for d in done.values():
@@ -264,6 +269,33 @@ def count_walks(nodes: DataFrame, edges: DataFrame, layered: DataFrame | None =
     return _sweep(simple, layered, start, None, lambda s: s.groupBy("node_id").agg(total.alias("walks")))
 
 
+def _on_paths(own: DataFrame, simple: DataFrame, nodes: DataFrame, kernel: Callable, columns: list[str]) -> DataFrame | None:
+    """(node_id, path_id, columns) from the last own steps of nodes on paths, if the graph is one bounded group,
+    else None. ``kernel`` takes layers, edges and own steps, of shape (nodes, paths) and -1 for none, to an
+    array a column, the first with -1 where there is no row."""
+    paths = own.select("path_id").distinct().limit(1001).collect()
+    if not 0 < len(paths) <= 1000 or not _fits(own, simple) or nodes.count() * len(paths) > 20 * ONE_GROUP:
+        return None
+    names = [r.path_id for r in paths]  # a thousand at most
+    kind = own.schema["path_id"].dataType.simpleString()
+    number = F.create_map(*(F.lit(x).cast(kind if i % 2 == 0 else "long") for p in enumerate(names) for i, x in enumerate((p[1], p[0]))))
+
+    def run(o: np.ndarray, e: np.ndarray) -> tuple:
+        every, src, dst = _indexed(o[:, 0], e)
+        layer = dag.layers_of(len(every), src, dst)
+        if (layer < 0).any():
+            raise CycleError("the graph has a cycle")
+        held = np.full((len(every), max(1, o[:, 1].max(initial=0) + 1)), -1, dtype=np.int64)
+        held[np.searchsorted(every, o[:, 0]), o[:, 1]] = o[:, 2]
+        got = kernel(layer, src, dst, held)
+        at, path = np.nonzero(got[0] >= 0)
+        return every[at], path, *(x[at, path] for x in got)
+
+    found = _in_one_task([own.select("node_id", number[F.col("path_id")].alias("path"), "last_step"), simple], run, ", ".join(f"{c} long" for c in ("node_id", "path", *columns)))
+    back = F.array(*(F.lit(x).cast(kind) for x in names))
+    return found.select("node_id", F.element_at(back, (F.col("path") + 1).cast("int")).alias("path_id"), *columns)
+
+
 def reach(steps: DataFrame, edges: DataFrame, layered: DataFrame | None = None) -> DataFrame:
     """(node_id, path_id, last_step): for each node and path the last step of the path from which the node
     can be reached, its own included. ``a`` on a path at step s reaches ``b`` if s <= last_step."""
@@ -271,30 +303,12 @@ def reach(steps: DataFrame, edges: DataFrame, layered: DataFrame | None = None)
     own = steps.groupBy("node_id", "path_id").agg(F.max("step").alias("last_step"))
     simple = make_simple(edges)
     nodes = steps.select("node_id").union(simple.select("src")).union(simple.select("dst")).distinct()
-    paths = steps.select("path_id").distinct().limit(1001).collect()
-    if layered is None and len(paths) <= 1000 and _fits(own, simple) and nodes.count() * len(paths) <= 20 * ONE_GROUP:
-        names = [r.path_id for r in paths]  # a thousand at most
-        kind = steps.schema["path_id"].dataType.simpleString()
-        number = F.create_map(*(F.lit(x).cast(kind if i % 2 == 0 else "long") for p in enumerate(names) for i, x in enumerate((p[1], p[0])))) if names else F.lit(None)
-
-        def kernel(o: np.ndarray, e: np.ndarray) -> tuple:
-            every, src, dst = _indexed(o[:, 0], e)
-            layer = dag.layers_of(len(every), src, dst)
-            if (layer < 0).any():
-                raise CycleError("the graph has a cycle")
-            held = np.full((len(every), max(1, o[:, 1].max(initial=0) + 1)), -1, dtype=np.int64)
-            held[np.searchsorted(every, o[:, 0]), o[:, 1]] = o[:, 2]
-            got = dag.last_steps(layer, src, dst, held)
-            at, path = np.nonzero(got >= 0)
-            return every[at], path, got[at, path]
-
-        if names:
-            found = _in_one_task([own.select("node_id", number[F.col("path_id")].alias("path"), "last_step"), simple], kernel, "node_id long, path long, last_step long")
-            back = F.array(*(F.lit(x).cast(kind) for x in names))
-            return found.select("node_id", F.element_at(back, (F.col("path") + 1).cast("int")).alias("path_id"), "last_step")
+    if layered is None:
+        found = _on_paths(own, simple, nodes, lambda layer, src, dst, held: [dag.last_steps(layer, src, dst, held)], ["last_step"])
+        if found is not None:
+            return found
     layered = layers(nodes, edges) if layered is None else layered
-    start = own.join(layered.where("layer = 0").select("node_id"), "node_id", "left_semi")
-    return _sweep(simple, layered, start, own, lambda s: s.groupBy("node_id", "path_id").agg(F.max("last_step").alias("last_step")))
+    return _sweep(simple, layered, None, own, lambda s: s.groupBy("node_id", "path_id").agg(F.max("last_step").alias("last_step")))
 
 
 def reachable(pairs: DataFrame, reached: DataFrame, steps: DataFrame) -> DataFrame:
@@ -323,10 +337,25 @@ def masked_forward_edges(forward: DataFrame, starts: DataFrame, ends: DataFrame)
     return forward.join(starts.select("node_id"), "node_id", "left_semi").join(ends.select(F.col("node_id").alias("from_node")), "from_node", "left_semi").select("node_id", "path_id", "from_node")
 
 
-def post_switch_distances(steps: DataFrame, edges: DataFrame, layered: DataFrame) -> DataFrame:
+def post_switch_distances(steps: DataFrame, edges: DataFrame, layered: DataFrame | None = None) -> DataFrame:
     """(node_id, path_id, last_step, distance): the least number of edges walked from the last step of each
-    path that reaches a node; zero on the path."""
-    own = steps.groupBy("node_id", "path_id").agg(F.max("step").alias("last_step")).withColumn("distance", F.lit(0).cast("long"))
+    path that reaches a node; zero on the path. Steps of a null path take no part."""
+    shared_dir(steps.sparkSession)
+    steps = steps.where("path_id is not null")
+    own = steps.groupBy("node_id", "path_id").agg(F.max("step").alias("last_step"))
+    simple = make_simple(edges)
+    nodes = steps.select("node_id").union(simple.select("src")).union(simple.select("dst")).distinct()
+    if layered is None:
+
+        def kernel(layer: np.ndarray, src: np.ndarray, dst: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+            last = dag.last_steps(layer, src, dst, held)
+            return [last, dag.switch_distances(layer, src, dst, held, last)]
+
+        found = _on_paths(own, simple, nodes, kernel, ["last_step", "distance"])
+        if found is not None:
+            return found
+    layered = layers(nodes, edges) if layered is None else layered
+    own = own.withColumn("distance", F.lit(0).cast("long"))
 
     def fold(s: DataFrame) -> DataFrame:
         # a state that came along an edge has walked it
@@ -334,8 +363,7 @@ def post_switch_distances(steps: DataFrame, edges: DataFrame, layered: DataFrame
         best = F.min(F.struct((-F.col("last_step")).alias("late"), here.alias("distance")))
         return s.groupBy("node_id", "path_id").agg(best.alias("x")).select("node_id", "path_id", (-F.col("x.late")).alias("last_step"), F.col("x.distance").alias("distance"))
 
-    start = own.join(layered.where("layer = 0").select("node_id"), "node_id", "left_semi")
-    return _sweep(make_simple(edges), layered, start, own, fold)
+    return _sweep(simple, layered, None, own, fold)
 
 
 def target_reachability(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -152,3 +152,51 @@ def test_long_walks(spark):
     assert G.layers(line.nodes, line.edges).agg({"layer": "max"}).first()[0] == n - 1
     walk = G.shortest_walk(line.edges, spark.createDataFrame([(5,)], "node_id long"), spark.createDataFrame([(1000,), (7,)], "node_id long"))
     assert rows(walk, "step", "node_id") == [(0, 5), (1, 6), (2, 7)]
+
+
+def counted(df, seen):
+    """``df``, with each row counted in ``seen`` whenever it is made."""
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema)
+
+
+def test_post_switch_distances(spark, monkeypatch):
+    rng = random.Random(6)
+    n = 16
+    e = random_dag(rng, n) + [(i, i + 1) for i in range(0, n - 1, 2)]
+    steps = [("p", k, v) for k, v in enumerate(sorted(rng.sample(range(n), 7)))] + [("q", k, v) for k, v in enumerate(sorted(rng.sample(range(n), 5)))]
+    far = {(a, a): 0 for a in range(n)}
+    for a in range(n):
+        for b in range(a, n):
+            for x, y in e:
+                if x == b and (a, b) in far:
+                    far[a, y] = min(far.get((a, y), n), far[a, b] + 1)
+    want = []
+    for v in range(n):
+        for p in "pq":
+            last = max(((k, a) for q, k, a in steps if q == p and (a, v) in far), default=None)
+            if last:
+                want.append((v, p, last[0], far[last[1], v]))
+    g = make(spark, n, e, [*steps, (None, 0, 3)])
+    columns = "node_id", "path_id", "last_step", "distance"
+    assert rows(G.post_switch_distances(g.steps, g.edges), *columns) == want
+    monkeypatch.setattr(G, "ONE_GROUP", 0)
+    assert rows(G.post_switch_distances(g.steps, g.edges), *columns) == want
+    # what a round reads does not go back to the steps
+    layered, seen = G.layers(g.nodes, g.edges), spark.sparkContext.accumulator(0)
+    assert rows(G.post_switch_distances(counted(g.steps, seen), g.edges, layered), *columns) == want
+    assert seen.value <= 2 * (len(steps) + 1)
+
+
+def test_post_switch_query_reads_lines_once(spark, monkeypatch):
+    from plait import adapters, graph_queries
+
+    seen, d = spark.sparkContext.accumulator(0), "/root/testdata/sf0.001"
+    monkeypatch.setattr(adapters, "table", lambda spark, d, name, read=adapters.table: counted(read(spark, d, name), seen))
+    assert graph_queries.dag_post_switch_distances(spark, d).count()
+    assert seen.value == spark.read.parquet(f"{d}/lineitem.parquet").count()
