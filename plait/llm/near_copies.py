@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plait.llm.simhash import nearby
-from plait.operators.components import connected_components
+from plait.operators.components import ONE_GROUP, connected_components
 from plait.runtime import lean, materialise, ship
 
 WORDS, SIMILARITY = 5, 0.8
@@ -442,7 +442,7 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
 
     def joined(links: DataFrame) -> DataFrame:
         """(node, part, members, block) of the classes that have links."""
-        held = connected_components(links).select("node", F.col("component").alias("part")).join(classes.select("node", "size"), "node")
+        held = connected_components(links, one_group=ONE_GROUP).select("node", F.col("component").alias("part")).join(classes.select("node", "size"), "node")
         held = materialise(held, "copies-held")
         parts = held.groupBy("part").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
         return materialise(held.join(parts, "part").select("node", "part", "members", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "copies-grown")
@@ -464,7 +464,7 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
         held = joined(links)
     apart = in_runs(held).mapInArrow(lean(lambda it: questions(it, least)), "node long, part long, block long")
     links = links.union(confirmed(apart.distinct(), held.select("node", "part", "block"), "apart"))
-    parts = connected_components(links).select("node", F.col("component").alias("part"))
+    parts = connected_components(links, one_group=ONE_GROUP).select("node", F.col("component").alias("part"))
     labelled = materialise(classes.join(parts, "node", "left").select("e1", "e2", "first", "t", F.coalesce("part", "node").alias("part")), "copies-parts")
     least_id = materialise(labelled.groupBy("part").agg(F.min("first").alias("stay"), F.min("t").alias("stay_t")), "copies-stay")
     labelled = materialise(labelled.join(least_id, "part").select("e1", "e2", "part", "stay", "stay_t", "first"), "copies-labels")

@@ -82,3 +82,20 @@ def test_edges(spark, edge_docs):
     assert len(rows) == edge_docs.count()
     assert sum(r.stays for r in rows if r.doc_id in (0, 1, 2)) == 1
     assert near_copies.groups(edge_docs.limit(0)).count() == 0
+
+
+def test_few_links_write_no_rounds(spark, monkeypatch):
+    """Rounds of components write files in each task: a table with few links needs none of them."""
+    rng = random.Random(8)
+    docs = []
+    for g in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for k in range(4):
+            docs.append((10 * g + k, " ".join([*words[: 60 + k], f"x{g}{k}", *words[61 + k :]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    real = type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a, **b: seen.append(1) or real(self, *a, **b))
+    got = sorted((r.doc_id, r.part, r.stays) for r in near_copies.groups(df).collect())
+    assert not seen
+    assert len({p for _, p, _ in got}) == 6 and [d for d, _, s in got if s] == [10 * g for g in range(6)]

@@ -45,6 +45,19 @@ def test_components_equal_brute_force(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_in_one_task_equal_rounds(spark):
+    rng = random.Random(3)
+    loose = [(rng.randrange(-50, 50), rng.randrange(-50, 50)) for _ in range(60)] + [(70, 70), (None, 1), (2, None)]
+    chain = [(i, i + 1) for i in range(300)]
+    rng.shuffle(chain)
+    for edges in (loose, loose + loose, chain, []):
+        e = spark.createDataFrame(edges, "src long, dst long")
+        n = sum(None not in x for x in edges)
+        want = rows(connected_components(e), "node", "component")
+        assert rows(connected_components(e, one_group=n), "node", "component") == want
+        assert rows(connected_components(e, one_group=n - 1), "node", "component") == want
+
+
 def test_dag_operators(spark):
     rng = random.Random(2)
     n = 14
